@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foliary.llm import substring_dedup
+from foliary.llm import substring_dedup, suffix_dedup
 
 
 def queries():
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
