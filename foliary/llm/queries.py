@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from foliary.llm import substring_dedup, suffix_dedup
+from foliary.llm import decontaminate, quality, substring_dedup, suffix_dedup, url_filter
 
 
 def queries():
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op3_url_filter": url_filter.op3_url_filter,
+        "op5_quality": quality.op5_quality,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
