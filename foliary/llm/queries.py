@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliary.llm import decontaminate, quality, substring_dedup, suffix_dedup, url_filter
+from foliary.llm import decontaminate, nearest, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -11,7 +11,9 @@ def queries():
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_quality": quality.op5_quality,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_nearest": nearest.op10_nearest,
     }
 
 
