@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliary.llm import decontaminate, nearest, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from foliary.llm import decontaminate, line_dedup, nearest, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_quality": quality.op5_quality,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE}
