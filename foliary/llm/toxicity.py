@@ -98,37 +98,43 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
 
 
-def _sets(docs: DataFrame, chosen: np.ndarray | None) -> DataFrame:
-    """doc_id, features: features of each text, or the numbers of those that ``chosen`` numbers."""
+def _sets(texts: DataFrame, chosen: np.ndarray) -> list[np.ndarray]:
+    """The features of each text that ``chosen`` numbers, in the order of doc_id, for a bounded number of texts."""
 
     def run(batches):
         for batch in batches:
             for at, to, doc, bucket, words in _chunks(batch):
                 doc, feature = levels_of(doc, bucket, words, chosen)
-                ends = np.searchsorted(doc, np.arange(to - at + 1)).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), values], names=["doc_id", "features"])
+                ends = np.searchsorted(doc, np.arange(to - at + 1))
+                sets = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(sets, pa.binary())], names=["doc_id", "features"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, features array<int>")
+    rows = texts.mapInArrow(run, "doc_id long, features binary").toPandas().sort_values(["doc_id", "features"])
+    return [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["features"]]
 
 
-def _document_counts(docs: DataFrame, candidate: np.ndarray) -> np.ndarray:
-    """Documents of the corpus that hold each candidate feature."""
+def _document_counts(texts: DataFrame, candidate: np.ndarray | None, least: int = 1) -> np.ndarray:
+    """Texts that hold each feature (each candidate only, if given), where they are ``least`` at least."""
+    size = LEVELS << BUCKET_BITS
+    listed = np.flatnonzero(candidate) if candidate is not None else np.zeros(0, np.int64)
+    number = None
+    if candidate is not None:
+        number = np.full(size, -1, np.int32)
+        number[listed] = np.arange(len(listed))
+    width = size if candidate is None else len(listed)
 
     def run(batches):
-        total = np.zeros(len(listed), np.int64)
+        total = np.zeros(width, np.int32)
         for batch in batches:
             for _, _, doc, bucket, words in _chunks(batch):
-                total += np.bincount(levels_of(doc, bucket, words, number)[1], minlength=len(total))
+                np.add.at(total, levels_of(doc, bucket, words, number)[1], 1)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["feature", "n"])
-
-    listed = np.flatnonzero(candidate)
-    number = np.full(len(candidate), -1, np.int32)
-    number[listed] = np.arange(len(listed))
-    out = np.zeros(len(candidate), np.int64)
-    for row in _texts(docs).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        out[listed[row.feature]] = row.n
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["feature", "n"])
+
+    rows = texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    out = np.zeros(size, np.int64)
+    at = rows["feature"].to_numpy()
+    out[at if candidate is None else listed[at]] = rows["n"].to_numpy()
     return out
 
 
@@ -189,28 +195,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     toxic = known.where("y = 1").select("doc_id").distinct()
     sample = bounded(toxic, positives)
     # at most about `positives` ids: their size is bounded
-    rows = _sets(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), None).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.features))
-    if not rows:
+    confirmed = _texts(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    n_positive = confirmed.count()
+    if not n_positive:
         return None
-    in_positive = np.bincount(np.concatenate([np.array(r.features, np.int64) for r in rows]), minlength=LEVELS << BUCKET_BITS)
-    candidate = in_positive >= min(LEAST_POSITIVES, len(rows))
+    in_positive = _document_counts(confirmed, None, min(LEAST_POSITIVES, n_positive))
+    candidate = in_positive > 0
     n_docs = docs.count()
-    share_p = (in_positive + 0.5) / (len(rows) + 1)
-    share_u = (_document_counts(docs, candidate) + 0.5) / (n_docs + 1)
+    share_u = (_document_counts(_texts(docs), candidate) + 0.5) / (n_docs + 1)
     # evidence that a bucket is commoner among positives, against the number of buckets tried
-    expected = share_u * len(rows)
+    expected = share_u * n_positive
     gain = np.where(candidate & (in_positive > expected), in_positive * np.log(np.maximum(in_positive, 1) / expected) - in_positive + expected, 0.0)
     best = np.lexsort((np.arange(len(gain)), -gain))[:FEATURES]
     best = best[gain[best] > np.log(max(1, candidate.sum())) + 1]
     chosen = np.full(LEVELS << BUCKET_BITS, -1, np.int32)
     chosen[best] = np.arange(len(best))
-    p = [chosen[np.array(r.features, np.int64)] for r in rows]
-    p = [x[x >= 0] for x in p]
     rest = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    u_rows = _sets(bounded(rest, unlabelled, n_docs), chosen).collect()
-    u_rows.sort(key=lambda r: (r.doc_id, r.features))
-    u = [np.array(r.features, np.int64) for r in u_rows] or [np.zeros(0, np.int64)]
+    p = _sets(confirmed, chosen)
+    u = _sets(_texts(bounded(rest, unlabelled, n_docs)), chosen) or [np.zeros(0, np.int64)]
     return chosen, PuClassifier(p, u, len(best), prior)
 
 
