@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliary.llm import decontaminate, line_dedup, near_dedup, nearest, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from foliary.llm import decontaminate, line_dedup, near_dedup, nearest, pieces, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_pieces": pieces.op4_pieces,
         "op5_quality": quality.op5_quality,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
