@@ -1,8 +1,65 @@
-"""A training-data pipeline over ``documents``; part of the ``llm`` subpackage."""
+"""A training-data pipeline over ``documents``; part of the ``llm`` subpackage.
 
-STAGES = []
+``STAGES`` lists (name, function) in order; every function takes (spark, docs,
+sf_dir) and returns a DataFrame, which is written as Parquet and read back as the
+next stage's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliary.llm import decontaminate, line_dedup, near_dedup, pieces, quality, shared
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as label 1; a rejected doc_id goes in all its rows."""
+    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = found.where("predicted = 0").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines of recurring templates; n_chars follows the text."""
+    cut = line_dedup.dedup(docs).drop("n_lines", "n_removed")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near duplicates; of equal rows one."""
+    return near_dedup.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark; a contaminated doc_id goes in all its rows."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding gives the text back."""
+    model = pieces.PieceModel.read(spark, f"file://{pieces.MODEL}")
+    coded = pieces.decode(pieces.encode(docs, model), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.translate("text", pieces.SPACE, " ")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near", near_stage),
+    ("benchmark", benchmark_stage),
+    ("tokens", token_stage),
+]
+
+#: SQL can't express the learned, sampled and iterative stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = shared.materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

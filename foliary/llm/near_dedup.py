@@ -297,6 +297,17 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
     return named.join(least, "class_key").select("doc_id", "class_id", "key")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, for the row of the smallest doc_id of each class; of equal rows one."""
+    found = shared.materialise(classes(docs).where("doc_id = class_id").select("doc_id"))
+    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))}
+    kept = docs.withColumns(keys).join(found.select(F.col("doc_id").alias("__id")).distinct(), "__id", "left_semi")
+    # rows that share the doc_id of their class: copies of each other, as a class has one smallest doc_id
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__id"])
+    return kept.select(*docs.columns)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
