@@ -2,23 +2,26 @@
 
 A line is its tokens (runs of other characters than white space); tokens that
 hold a digit become ``<*>``. The tree has a fixed depth: number of tokens, then
-the ``LEAD`` first tokens. What follows the leading tokens is dealt by position
-into ``GROUPS`` token groups, each one a hash, so that a field that varies
-changes one group however long the line is. In each leaf the most common line
-(in documents; ties: the smaller first document, then line) becomes a template;
-lines that agree with it in at least ``AGREE`` of the groups either of them has
-join it, and their differing groups are wildcards. This is repeated for the rest
+the ``LEAD`` first tokens. What follows the leading tokens is cut into at most
+``GROUPS`` token groups of equal size, each one a hash, so that a field that
+varies changes one group however long the line is. In each leaf the most common
+line (in documents; ties: the smaller first document, then line) becomes a
+template; lines that agree with it in at least ``AGREE`` of the groups join it,
+and their differing groups are wildcards. This is repeated for the rest
 ``ROUNDS`` times in all; lines left over are templates of their own.
 
 A template of at least ``MIN_DOCS`` documents is recurring. Its lines are
 dropped from every document but the first (smallest doc_id) that holds it.
 
-Hot lines and leaves: counts are taken by map-side aggregation of distinct
-(line, document) pairs; the joins back to lines split at run time.
+A leaf with fewer than ``MIN_DOCS`` lines can't hold a recurring template, so
+only the lines of larger leaves go through the tree. Hot lines and leaves:
+counts are taken by map-side aggregation of distinct (line, document) pairs; the
+joins back to lines split at run time. Lines travel as hashes; texts are
+shuffled once, to meet the numbers of the lines that they lose.
 
 Edge cases: a null text counts as empty; a null doc_id as larger than every
 other; rows with equal doc_id and text are one document in the counts and give
-equal results; blank lines are never dropped; other columns are ignored.
+equal results; blank lines are never dropped; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliary.llm import shared
+
 LEAD = 3
 GROUPS = 8
 AGREE = 0.6
@@ -35,27 +40,26 @@ _LAST = (1 << 63) - 1
 
 
 def _group(i: int, groups: int) -> Column:
-    """Hash of every ``groups``-th token after the leading ones, from the ``i``-th on; null if there is none."""
-    return F.when(F.size("rest") > i, F.xxhash64(F.array_join(F.filter("rest", lambda _, place: place % groups == i), " ")))
+    """Hash of the ``i``-th group of the tokens after the leading ones; null if there is none."""
+    size = F.ceil(F.size("rest") / groups).cast("int")
+    return F.when(F.size("rest") > i * size, F.hash(F.slice("rest", i * size + 1, size)))
 
 
 def _lines(docs: DataFrame, lead: int, groups: int) -> DataFrame:
     """id, text_key, pos, leaf, line, parts: every line that isn't blank."""
     lines = docs.select("id", "text_key", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    # every white character outside a token becomes one space; tokens with digits become <*>
-    masked = F.regexp_replace(F.trim(F.regexp_replace("raw", r"[\t\n\x0B\f\r ]+", " ")), r"[^ ]*[0-9][^ ]*", "<*>")
-    lines = lines.select("id", "text_key", "pos", masked.alias("masked")).where(F.col("masked") != "")
-    tokens = F.split("masked", " ")
-    lines = lines.withColumn("tokens", tokens)
-    rest = F.slice("tokens", lead + 1, F.greatest(F.size("tokens") - lead, F.lit(0)))
-    lines = lines.withColumn("rest", rest)
-    group = [_group(i, groups) for i in range(groups)]
-    return lines.select("id", "text_key", "pos", F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, lead), " ")).alias("leaf"), F.xxhash64("masked").alias("line"), F.array(*group).alias("parts"))
-
-
-def _templates(lines: DataFrame, agree: float, rounds: int, groups: int) -> DataFrame:
+    # one space for the white space between tokens; tokens with digits become <*>
+    spaced = F.when(F.col("raw").rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace("raw", r"[\t\x0B\f\r ]+", " ")).otherwise(F.col("raw"))
+    lines = lines.select("id", "text_key", "pos", F.trim(spaced).alias("spaced")).where(F.col("spaced") != "")
+    masked = F.when(F.col("spaced").rlike("[0-9]"), F.regexp_replace("spaced", r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("spaced"))
+    lines = lines.select("id", "text_key", "pos", masked.alias("masked")).withColumn("tokens", F.split("masked", " "))
+    lines = lines.withColumn("rest", F.slice("tokens", lead + 1, F.greatest(F.size("tokens") - lead, F.lit(0))))
+    parts = F.array(*(_group(i, groups) for i in range(groups)))
+    return lines.select("id", "text_key", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead)).alias("leaf"), F.xxhash64("masked").alias("line"), parts.alias("parts"))
+
+
+def _templates(by_doc: DataFrame, agree: float, rounds: int, groups: int) -> DataFrame:
     """leaf, line, template: the template of each distinct line."""
-    by_doc = lines.groupBy("leaf", "line", "id", "text_key").agg(F.min("pos").alias("pos"), F.first("parts").alias("parts"))
     found = by_doc.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "text_key", "pos")).alias("first"), F.first("parts").alias("parts"), F.lit(None).cast("long").alias("template"))
     for _ in range(rounds):
         # the most common open line of a leaf; ties by its first place
@@ -73,21 +77,24 @@ def _templates(lines: DataFrame, agree: float, rounds: int, groups: int) -> Data
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, groups: int = GROUPS, agree: float = AGREE, rounds: int = ROUNDS) -> DataFrame:
     """All columns of ``docs``, each text without its recurring lines, and the numbers of lines before and of those dropped (``n_lines``, ``n_removed``)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    lines = _lines(keys.select("id", "text", "text_key"), lead, groups)
-    templates = _templates(lines, agree, rounds, groups)
-    named = lines.select("id", "text_key", "pos", "leaf", "line").join(templates, ["leaf", "line"])
-    by_doc = named.groupBy("template", "leaf", "id", "text_key").agg(F.collect_set("pos").alias("at"))
-    recurring = by_doc.groupBy("template", "leaf").agg(F.count("*").alias("docs"), F.min(F.struct("id", "text_key")).alias("first")).where(F.col("docs") >= min_docs)
-    dropped = by_doc.join(recurring, ["template", "leaf"]).where((F.col("id") != F.col("first.id")) | (F.col("text_key") != F.col("first.text_key")))
-    places = dropped.groupBy("id", "text_key").agg(F.flatten(F.collect_list("at")).alias("gone"))
-    joined = keys.join(places, ["id", "text_key"], "left").withColumn("raw", F.split("text", "\n"))
-    blank = F.size(F.filter("raw", lambda x: F.trim(F.regexp_replace(x, r"[\t\n\x0B\f\r ]+", " ")) == ""))
-    # array_except would drop repeated lines; positions decide instead
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("raw", lambda _, i: ~F.array_contains(gone, i)), "\n"))
+    identity = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__key": F.xxhash64(text)}
+    lines = shared.materialise(_lines(docs.select(identity["__id"].alias("id"), text.alias("text"), identity["__key"].alias("text_key")), lead, groups))
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("leaf")
+    by_doc = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line", "id", "text_key").agg(F.min("pos").alias("pos"), F.first("parts").alias("parts"), F.collect_set("pos").alias("at"))
+    by_doc = shared.materialise(by_doc)
+    templates = shared.materialise(_templates(by_doc, agree, rounds, groups))
+    named = by_doc.select("leaf", "line", "id", "text_key", "at").join(templates, ["leaf", "line"])
+    one = named.groupBy("leaf", "template", "id", "text_key").agg(F.flatten(F.collect_list("at")).alias("at"))
+    one = shared.materialise(one)
+    recurring = one.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "text_key")).alias("first")).where(F.col("docs") >= min_docs)
+    dropped = one.join(recurring, ["leaf", "template"]).where((F.col("id") != F.col("first.id")) | (F.col("text_key") != F.col("first.text_key")))
+    places = dropped.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.flatten(F.collect_list("at")).alias("__gone"))
+    joined = docs.withColumns(identity).join(places, ["__id", "__key"], "left").withColumn("__raw", F.split(text, "\n"))
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter("__raw", lambda _, i: ~F.array_contains(gone, i)), "\n"))
+    n_lines = F.size(F.filter("__raw", lambda x: x.rlike(r"[^ \t\x0B\f\r]"))).cast("long")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*(kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names), (F.size("raw") - blank).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
+    return joined.select(*(kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in names), n_lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +111,13 @@ WITH keys AS (
 ), exploded AS (
   SELECT id, text, generate_subscripts(raw, 1) - 1 AS pos, unnest(raw) AS raw FROM split
 ), masked AS (
-  SELECT id, text, pos, regexp_replace(trim(regexp_replace(raw, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM exploded
+  SELECT id, text, pos, regexp_replace(trim(regexp_replace(raw, '[\\t\\x0B\\f\\r ]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM exploded
 ), lines AS (
   SELECT id, text, pos, line, string_split(line, ' ') AS tokens FROM masked WHERE line <> ''
 ), parts AS (
   SELECT id, text, pos, line, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:{LEAD}], ' ') AS leaf,
-         list_transform(range({GROUPS}), lambda i: CASE WHEN len(tokens) - {LEAD} > i THEN array_to_string(list_filter(tokens[{LEAD + 1}:], lambda x, p: (p - 1) % {GROUPS} = i), ' ') END) AS parts
-  FROM lines
+         list_transform(range({GROUPS}), lambda i: CASE WHEN len(tokens) - {LEAD} > i * size THEN array_to_string(tokens[{LEAD + 1} + i * size:{LEAD} + (i + 1) * size], ' ') END) AS parts
+  FROM (SELECT *, ceil(greatest(len(tokens) - {LEAD}, 0) / {GROUPS})::BIGINT AS size FROM lines)
 ), r0 AS (
   SELECT leaf, line, any_value(parts) AS parts, count(DISTINCT (id, text)) AS docs, min(id) AS fid, arg_min(pos, (id, pos)) AS fpos FROM parts GROUP BY leaf, line
 ), s1 AS (
@@ -132,7 +139,7 @@ WITH keys AS (
 ), gone AS (
   SELECT id, text, list(pos) AS gone FROM named JOIN recurring USING (leaf, template) WHERE id <> first_id GROUP BY id, text
 )
-SELECT d.doc_id, len(list_filter(raw, lambda x: trim(regexp_replace(x, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')) <> ''))::BIGINT AS n_lines,
+SELECT d.doc_id, len(list_filter(raw, lambda x: trim(regexp_replace(x, '[\\t\\x0B\\f\\r ]+', ' ', 'g')) <> ''))::BIGINT AS n_lines,
        coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(array_to_string(list_filter(raw, lambda x, i: NOT coalesce(list_contains(gone, i - 1), false)), chr(10))) AS kept_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id, {_LAST}) AS id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents) d
