@@ -1 +1 @@
-"""See the modules."""
+"""Scalar functions as Column builders: everything runs inside the JVM."""

@@ -1 +1 @@
-"""See the modules."""
+"""Operators on DataFrames: joins, ordered folds, comparison, storage, layout."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ def query(name: str, oracle: str | None = None):
     """Register a function ``(spark, sf_dir) -> DataFrame`` under ``name``."""
 
     def add(function):
-        if name in _QUERIES:
+        if name in _QUERIES and _QUERIES[name] is not function:
             raise ValueError(f"{name} is registered twice")
         _QUERIES[name] = function
         if oracle is not None:
@@ -24,9 +26,18 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def queries():
-    return _QUERIES
+def _load() -> None:
+    import foliary.queries as package
 
+    for module in pkgutil.iter_modules(package.__path__):
+        importlib.import_module(f"{package.__name__}.{module.name}")
 
-def oracle_sql():
-    return _ORACLES
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_ORACLES)
