@@ -1 +1 @@
-"""See the modules."""
+"""Sources: packages of parts, images, page files."""

@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming: latest wins, lifetimes, reactive aggregates."""
