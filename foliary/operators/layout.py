@@ -192,9 +192,11 @@ def solve_widths(columns: list[dict], total: int) -> list[int]:
 
 def snap_page(width: int, height: int, tolerance: int = 20) -> tuple[int, int]:
     """A page size near an ISO one, in twips, becomes exactly that."""
-    for n in range(11):
-        a = (round(841 / 2 ** (n / 2) * 1440 / 25.4), round(1189 / 2 ** (n / 2) * 1440 / 25.4))
-        for size in (a, a[::-1]):
+    short, long = 841, 1189  # A0 in millimetres; each next size halves the longer side
+    for _ in range(11):
+        iso = (round(short * 1440 / 25.4), round(long * 1440 / 25.4))
+        for size in (iso, iso[::-1]):
             if abs(size[0] - width) <= tolerance and abs(size[1] - height) <= tolerance:
                 return size
+        short, long = long // 2, short
     return width, height
