@@ -41,7 +41,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding gives the text back."""
     model = pieces.PieceModel.read(spark, f"file://{pieces.MODEL}")
-    coded = pieces.decode(pieces.encode(docs, model), model)
+    coded = pieces.encode(docs, model, decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.translate("text", pieces.SPACE, " ")).alias("round_trip"))
 
 

@@ -9,16 +9,18 @@ encoded once:
 2. the edges are grouped by word;
 3. a higher-order ``aggregate`` folds them: for a unigram model Viterbi's best
    path; for a BPE model (such as ``piece_bpe_32k.model``) the best path is not
-   what the model means, so the fold applies the best-scored joining of two
-   neighbours, the leftmost on ties, until none is left.
+   what the model means, so the fold takes the edges from the best score on (the
+   leftmost first on ties) and joins the two neighbours that make up an edge.
+   The joins of a trained model come in the order of their scores, so one pass
+   is what merging the best pair again and again gives.
 
 Blocks of documents send their distinct words to slices of the word space and
-receive their ids; words over ``LONG`` characters, where folding costs the
-square of the length, are joined with a heap in Python by the same rule.
+receive their pieces; words over ``LONG`` characters, more than a mask has bits
+for, are joined with a heap in Python by the same rule.
 Characters that aren't pieces become their UTF-8 bytes' pieces, or the unknown
 piece without byte fallback.
 
-Decoding explodes ids, equi-joins the piece table and concatenates by position.
+Decoding looks ids up in the piece table and joins their bytes in order.
 
 Edge cases: a null text has null ids, an empty one none; U+2581 in a text counts
 as a space; an empty table gives an empty result.
@@ -126,15 +128,17 @@ class Cutter:
 
     def __init__(self, model: PieceModel):
         chars = sorted({c for pair in model.joins for c in pair})
-        self.number = np.zeros(0x110000, np.int16)
+        self.number = np.zeros(0x110000, np.int32)
         self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.width = len(chars) + 1
+        joins = np.zeros((self.width, self.width), bool)
         for a, b in model.joins:
-            self.joins[self.number[ord(a)], self.number[ord(b)]] = True
+            joins[self.number[ord(a)], self.number[ord(b)]] = True
+        self.joins = joins.ravel()
         self.add_space = model.add_space
 
     def words(self, block):
-        """Code points of all texts, the bounds of their words, and the number of words of each text."""
+        """Code points of all texts, their numbers, the bounds of their words, and the number of words of each text."""
         texts = [block.raw(i).decode().replace(" ", SPACE) for i in range(len(block))]
         texts = [(SPACE if self.add_space and t else "") + t for t in texts]
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -142,44 +146,75 @@ class Cutter:
         kind = self.number[points]
         cut = np.ones(len(points) + 1, bool)
         if len(points):
-            cut[1:-1] = ~self.joins[kind[:-1], kind[1:]]
+            np.logical_not(self.joins[kind[:-1] * self.width + kind[1:]], out=cut[1:-1])
         cut[ends] = True
         bounds = np.flatnonzero(cut) if len(points) else np.zeros(1, np.int64)
         counts = np.diff(np.searchsorted(bounds, np.concatenate([[0], ends])))
-        return points, bounds, counts
+        return points, kind, bounds, counts
 
 
 class _Words:
     """Distinct words of a block, sorted by hash, and the word at each place."""
 
     def __init__(self, cutter: Cutter, block):
-        points, bounds, self.counts = cutter.words(block)
+        points, kind, bounds, self.counts = cutter.words(block)
         start, end = bounds[:-1], bounds[1:]
-        hashes = shared.RollingHash(points.astype(np.uint64)).of(start, end)
+        symbols = shared.mix64(np.arange(1, cutter.width + 1, dtype=np.uint64))[kind]
+        odd = np.flatnonzero(kind == 0)
+        symbols[odd] = shared.mix64(points[odd].astype(np.uint64) + np.uint64(1 << 40))
+        hashes = shared.RollingHash(symbols, mixed=True).of(start, end)
         self.hash, index, self.which = np.unique(hashes, return_index=True, return_inverse=True)
         self.points, self.start, self.end = points, start[index], end[index]
 
-    def text(self, i: int) -> str:
-        return self.points[self.start[i] : self.end[i]].tobytes().decode("utf-32-le")
+    def pack(self, a: int, b: int) -> bytes:
+        """Some of the distinct words: their sizes in bytes, and their UTF-8."""
+        import zstandard
+
+        length = self.end[a:b] - self.start[a:b]
+        points = self.points[np.repeat(self.start[a:b], length) + _within(length)]
+        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        sizes = np.add.reduceat(width, np.cumsum(length) - length)
+        return zstandard.ZstdCompressor(level=1).compress(sizes.astype(np.uint32).tobytes() + points.tobytes().decode("utf-32-le").encode())
+
+
+def _within(count: np.ndarray) -> np.ndarray:
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _unpack(payload: bytes, n: int):
+    """Words of a packed part as an Arrow string array."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n))]).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw[4 * n :]))
 
 
 # -------------------------------------------------------------------- lattice
 
 
-def lattice(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
-    """keys, word, n, edges: the pieces in each word, grouped by word (keys + word must be distinct)."""
+def lattice(words: DataFrame, model: PieceModel, keys: list[str], singles: bool) -> DataFrame:
+    """keys, word, n, edges: the pieces in each word, grouped by word (keys + word must be distinct).
+
+    Pieces are met by their 64-bit hashes, as hash tables of numbers are faster.
+    Without ``singles`` only pieces of two characters or more, and only words
+    that have any.
+    """
     spark = words.sparkSession
-    table = spark.createDataFrame([(p, float(s), i) for p, s, i in model.pieces], "piece string, score double, id int")
+    table = spark.createDataFrame([(p, float(s), i) for p, s, i in model.pieces if singles or len(p) > 1], "piece string, score double, id int").select(F.xxhash64("piece").alias("piece"), "score", "id")
     if len(model.pieces) <= BROADCAST_PIECES:
         table = F.broadcast(table)
-    n = F.length("word")
-    sizes = lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - at)), lambda size: F.struct(at.alias("start"), (at + size).alias("end"), F.substring("word", at + 1, size).alias("piece")))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), sizes))
-    edges = words.withColumn("n", n).select(*keys, "word", "n", F.explode(spans).alias("span")).select(*keys, "word", "n", "span.*")
-    edges = edges.join(table, "piece", "left")
-    # single characters stay, so that every word has an edge
-    edges = edges.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    return edges.groupBy(*keys, "word", "n").agg(F.collect_list(F.struct((F.col("start") * 64 + F.col("end")).alias("k"), "score", "id")).alias("edges"))
+    least = 1 if singles else 2
+    named = words.select(*keys, "word", F.xxhash64("word").alias("__key"), F.length("word").alias("n")).where(F.col("n") >= least)
+    starts = named.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("start"))
+    spans = starts.select("*", F.explode(F.sequence(F.lit(least), F.least(F.lit(max(model.longest, least)), F.col("n") - F.col("start")))).alias("size"))
+    spans = spans.withColumn("piece", F.xxhash64(F.substring("word", F.col("start") + 1, F.col("size"))))
+    edges = spans.join(table, "piece", "left" if singles else "inner")
+    if singles:  # every character is an edge, piece or not
+        edges = edges.where(F.col("id").isNotNull() | (F.col("size") == 1))
+    edge = F.struct((-F.col("score")).alias("cost"), "start", (F.col("start") + F.col("size")).alias("end"), "id")
+    grouped = edges.groupBy(*keys, "__key", "n").agg(F.first("word").alias("word"), F.collect_list(edge).alias("edges"))
+    return grouped.select(*keys, "word", "n", "edges")
 
 
 def _let(value: Column, body) -> Column:
@@ -187,30 +222,38 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def bpe_fold(n: Column, scores: Column) -> Column:
-    """Bounds of a word's pieces: join the best-scored neighbours until none can be."""
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
 
-    def step(state, _):
-        bounds, last = state["bounds"], F.size(state["bounds"]) - 3
-        options = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.struct(F.when(i <= last, F.element_at(state["scores"], F.get(bounds, i) * 64 + F.get(bounds, i + 2))).alias("score"), (-i).alias("at")),
-        )
-        drop = lambda best: F.when(best["score"].isNull(), bounds).otherwise(F.concat(F.slice(bounds, 1, 1 - best["at"]), F.slice(bounds, 3 - best["at"], F.size(bounds))))
-        # nulls sort first, so the greatest is null only if no neighbours can be joined
-        return F.struct(_let(F.array_max(options), drop).alias("bounds"), state["scores"].alias("scores"))
+def bpe_fold(n: Column, edges: Column) -> Column:
+    """The edges left when neighbours have been joined from the best edge on.
 
-    start = F.struct(F.sequence(F.lit(0), n).alias("bounds"), scores.alias("scores"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda state: state["bounds"])
+    The state is a mask of the bounds between symbols. An edge joins two symbols
+    if its ends are bounds and one bound lies between them.
+    """
+    masked = F.transform(F.array_sort(edges), lambda e: F.struct((_bit(e["start"]) + _bit(e["end"])).alias("ends"), (_bit(e["end"]) - _bit(e["start"]) * 2).alias("inner"), e["start"].alias("start"), e["end"].alias("end"), e["id"].alias("id")))
+
+    def join(bounds, e):
+        return F.when((bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1), bounds.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(bounds)
+
+    def left(state):
+        mine = F.filter(state["edges"], lambda e: (state["bounds"].bitwiseAND(e["ends"]) == e["ends"]) & (state["bounds"].bitwiseAND(e["inner"]) == 0))
+        return F.transform(mine, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["id"].alias("id")))
+
+    def fold(found):
+        return F.struct(found.alias("edges"), F.aggregate(found, _bit(n + 1) - 1, join).alias("bounds"))
+
+    return _let(_let(masked, fold), left)
 
 
 def viterbi_fold(n: Column, edges: Column, unknown: float) -> Column:
-    """Bounds of a word's pieces on the path of the greatest score (ties: the longer last piece)."""
+    """The edges on the path of the greatest score (ties: the longer last piece)."""
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
 
     def step(best, at):
-        into = F.filter(edges, lambda e: e["k"] % 64 == at)
-        options = F.transform(into, lambda e: F.struct((F.get(best, F.floor(e["k"] / 64).cast("int"))["score"] + F.coalesce(e["score"], F.lit(unknown))).alias("score"), (-F.floor(e["k"] / 64).cast("int")).alias("back")))
+        into = F.filter(edges, lambda e: e["end"] == at)
+        options = F.transform(into, lambda e: F.struct((F.get(best, e["start"])["score"] + F.coalesce(-e["cost"], F.lit(unknown))).alias("score"), (-e["start"]).alias("back")))
         return F.concat(best, F.array(_let(F.array_max(options), lambda top: F.struct(top["score"].alias("score"), (-top["back"]).alias("back")))))
 
     def path(best):
@@ -218,28 +261,23 @@ def viterbi_fold(n: Column, edges: Column, unknown: float) -> Column:
             head = F.get(bounds, F.lit(0))
             return F.when(head > 0, F.concat(F.array(F.get(best, head)["back"]), bounds)).otherwise(bounds)
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(n), follow)
+        bounds = F.aggregate(F.sequence(F.lit(1), n), F.array(n), follow)
+        pairs = lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.struct(F.get(at, i).alias("start"), F.get(at, i + 1).alias("end")))
+        return _let(_let(bounds, pairs), lambda kept: F.filter(edges, lambda e: e["id"].isNotNull() & F.array_contains(kept, F.struct(e["start"].alias("start"), e["end"].alias("end")))))
 
-    return _let(F.aggregate(F.sequence(F.lit(1), n), first, step), path)
+    chosen = _let(F.aggregate(F.sequence(F.lit(1), n), first, step), path)
+    return F.transform(chosen, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["id"].alias("id")))
 
 
 def encode_words(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
-    """keys, word, ids of distinct short words; a character that is no piece is -1 - its code point."""
-    grouped = lattice(words, model, keys)
+    """keys, word, pieces: (start, end, id) of the pieces in distinct short words; characters outside them stand alone."""
+    grouped = lattice(words, model, keys, model.kind == "unigram")
     if model.kind == "bpe":
-        found = F.filter("edges", lambda e: e["id"].isNotNull())
-        bounds = bpe_fold(F.col("n"), F.map_from_arrays(F.transform(found, lambda e: e["k"]), F.transform(found, lambda e: e["score"])))
+        pieces = bpe_fold(F.col("n"), F.col("edges"))
     else:
         lowest = min((s for _, s, _ in model.pieces), default=0.0)
-        bounds = viterbi_fold(F.col("n"), F.col("edges"), lowest - 10.0)
-    id_at = F.map_from_arrays(F.transform("edges", lambda e: e["k"]), F.transform("edges", lambda e: e["id"]))
-
-    def pieces(found):
-        at = found["bounds"]
-        piece = lambda i: F.coalesce(F.element_at(found["ids"], F.get(at, i) * 64 + F.get(at, i + 1)), -1 - F.ascii(F.substring("word", F.get(at, i) + 1, F.lit(1))))
-        return F.transform(F.sequence(F.lit(0), F.size(at) - 2), piece)
-
-    return grouped.select(*keys, "word", _let(F.struct(bounds.alias("bounds"), id_at.alias("ids")), pieces).alias("ids"))
+        pieces = viterbi_fold(F.col("n"), F.col("edges"), lowest - 10.0)
+    return grouped.select(*keys, "word", pieces.alias("pieces"))
 
 
 def join_by_heap(word: str, scores: dict[str, tuple[float, int]]) -> list[int]:
@@ -299,62 +337,83 @@ def _best_path(word: str, scores: dict[str, tuple[float, int]], longest: int) ->
 # ------------------------------------------------------------------- operator
 
 
-def encode(docs: DataFrame, model: PieceModel, block_bytes: int = 4 * shared.BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, text, ids of every document."""
+def encode(docs: DataFrame, model: PieceModel, block_bytes: int = shared.BLOCK_BYTES, slice_bytes: int = SLICE_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id, text, ids of every document; with ``decoded`` also the text that the ids decode to."""
     total = shared.text_bytes(docs)
     blocks = shared.deal_blocks(docs, shared.block_count(total, block_bytes))
     bits = shared.slices_for(total, slice_bytes)
     slices = 1 << bits
     cutter = Cutter(model)
     scores = {p: (s, i) for p, s, i in model.pieces}
+    # a character by itself: its piece, or -1 - its code point
+    single = -1 - np.arange(0x110000, dtype=np.int32)
+    for p, _, i in model.pieces:
+        if len(p) == 1:
+            single[ord(p)] = i
     byte_ids, unknown, kind, longest = model.byte_ids, model.unknown, model.kind, model.longest
 
     def ask(block_id, block):
         words = _Words(cutter, block)
-        rows = {"slice": [], "block": [], "words": []}
+        rows = {"slice": [], "block": [], "n": [], "data": []}
         piece = (words.hash >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words.hash), np.int64)
         for g, a, b in shared.cut(piece):
             rows["slice"].append(g)
             rows["block"].append(block_id)
-            rows["words"].append([words.text(i) for i in range(a, b)])
+            rows["n"].append(b - a)
+            rows["data"].append(words.pack(a, b))
         return rows
 
-    asked = shared.ask(blocks, ask, "slice int, block int, words array<string>").repartition(slices, "slice")
-    words = asked.select(F.col("slice").alias("part"), F.explode("words").alias("word")).where(F.length("word") <= LONG).distinct()
+    def received(table):
+        return pa.concat_arrays([_unpack(d, n) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)])
+
+    def distinct(key, table):
+        import pyarrow.compute as pc
+
+        words = received(table).unique()
+        words = words.filter(pc.less_equal(pc.utf8_length(words), LONG))
+        return pa.table({"part": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "word": words})
+
+    asked = shared.ask(blocks, ask, "slice int, block int, n int, data binary").repartition(slices, "slice")
+    words = asked.groupBy("slice").applyInArrow(distinct, "part int, word string").repartition(slices, "part")
     coded = encode_words(words, model, ["part"])
 
     def reply(key, left, right):
         import pyarrow.compute as pc
 
-        names, ids = right.column("word").combine_chunks(), right.column("ids").combine_chunks()
-        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) and names.num_chunks else names
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
-        flat = ids.flatten().to_numpy() if right.num_rows else np.zeros(0, np.int32)
-        size_of = np.asarray(pc.list_value_length(ids)).astype(np.int64) if right.num_rows else np.zeros(0, np.int64)
-        begin = np.cumsum(size_of) - size_of
-        data, counts = [], []
-        for row in left.column("words"):
-            own = row.values
-            at = np.asarray(pc.fill_null(pc.index_in(own, value_set=names), -1)).astype(np.int64) if right.num_rows else np.full(len(own), -1)
-            missing = np.flatnonzero(at < 0)
-            size = np.where(at >= 0, size_of[at] if right.num_rows else 0, 0)
-            extra = {}
-            for i in missing.tolist():  # long words
+        own = received(left)
+        length = np.asarray(pc.utf8_length(own)).astype(np.int64)
+        base = np.cumsum(length) - length
+        points = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "")[0].as_py().encode("utf-32-le"), np.uint32)
+        ids, heads = single[points], np.ones(len(points), bool)
+        if right.num_rows:
+            names, found = (pa.concat_arrays(right.column(c).chunks) for c in ("word", "pieces"))
+            pieces_in = np.asarray(pc.list_value_length(found)).astype(np.int64)
+            flat = found.flatten()
+            start, end, piece = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "end", "id"))
+            at = np.asarray(pc.fill_null(pc.index_in(own, value_set=names), -1)).astype(np.int64)
+            have = np.flatnonzero(at >= 0)
+            n = pieces_in[at[have]]
+            take = np.repeat((np.cumsum(pieces_in) - pieces_in)[at[have]], n) + _within(n)
+            shift = np.repeat(base[have], n)
+            ids[start[take] + shift] = piece[take]
+            inner = end[take] - start[take] - 1
+            heads[np.repeat(start[take] + shift + 1, inner) + _within(inner)] = False
+        size = np.add.reduceat(heads, base).astype(np.int64)
+        out = ids[heads]
+        long = np.flatnonzero(length > LONG)
+        if len(long):
+            parts = np.split(out, np.cumsum(size)[:-1])
+            for i in long.tolist():
                 word = own[i].as_py()
-                extra[i] = join_by_heap(word, scores) if kind == "bpe" else _best_path(word, scores, longest)
-                size[i] = len(extra[i])
-            short = np.repeat(at >= 0, size)
-            out = np.empty(size.sum(), np.int32)
-            take = np.flatnonzero(at >= 0)
-            n = size[take]
-            out[short] = flat[np.repeat(begin[at[take]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            ends = np.cumsum(size)
-            for i, found in extra.items():
-                out[ends[i] - size[i] : ends[i]] = found
-            data.append(size.astype(np.int32).tobytes() + out.tobytes())
-            counts.append(len(own))
+                parts[i] = np.array(join_by_heap(word, scores) if kind == "bpe" else _best_path(word, scores, longest), np.int32)
+                size[i] = len(parts[i])
+            out = np.concatenate(parts)
+        counts = np.array(left.column("n").to_pylist())
+        ends = np.cumsum(counts)
+        totals = np.concatenate([[0], np.cumsum(size)])
+        data = [size[e - c : e].astype(np.int32).tobytes() + out[totals[e - c] : totals[e]].astype(np.int32).tobytes() for c, e in zip(counts, ends, strict=True)]
         k = left.num_rows
-        return pa.table({"block": left.column("block"), "kind": pa.array([0] * k, pa.int32()), "slice": left.column("slice"), "n": pa.array(counts, pa.int32()), "data": pa.array(data, pa.binary())})
+        return pa.table({"block": left.column("block"), "kind": pa.array([0] * k, pa.int32()), "slice": left.column("slice"), "n": left.column("n"), "data": pa.array(data, pa.binary())})
 
     replies = asked.groupBy("slice").cogroup(coded.groupBy("part")).applyInArrow(reply, shared.REPLY)
 
@@ -381,34 +440,52 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = 4 * shared.BLO
                 own = np.concatenate([own[:at], coded_char, own[at + 1 :]])
             out.append(own.astype(np.int32))
         texts = [None if block.nulls[i] else block.raw(i).decode() for i in range(len(block))]
-        return {"doc_id": block.ids, "text": texts, "ids": out}
+        rows = {"doc_id": block.ids, "text": texts, "ids": pa.array(out, pa.list_(pa.int32()))}
+        return rows | {"decoded": decoder.texts(rows["ids"])} if decoded else rows
+
+    decoder = Decoder(model)
+    return shared.answer(blocks, replies, assemble, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
+
 
-    return shared.answer(blocks, replies, assemble, "doc_id long, text string, ids array<int>")
+class Decoder:
+    """Texts of lists of ids."""
+
+    def __init__(self, model: PieceModel):
+        byte_of = {i: b for b, i in enumerate(model.byte_ids or [])}
+        self.parts = [bytes([byte_of[i]]) if i in byte_of else t.replace(SPACE, " ").encode() for i, t in enumerate(model.texts)]
+        self.add_space = model.add_space
+
+    def texts(self, ids: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        known = np.where((flat >= 0) & (flat < len(self.parts)), flat, len(self.parts))
+        count = np.asarray(pc.fill_null(pc.list_value_length(ids), 0)).astype(np.int64)
+        pieces = pa.array([*self.parts, b""], pa.binary()).take(pa.array(known))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pieces)
+        out = []
+        for text, valid in zip(pc.binary_join(lists, b"").to_pylist(), ids.is_valid().to_pylist(), strict=True):
+            text = text.decode("utf-8", "replace") if valid else None
+            out.append(text[1:] if valid and self.add_space and text.startswith(" ") else text)
+        return pa.array(out, pa.string())
 
 
 def decode(tokens: DataFrame, model: PieceModel) -> DataFrame:
     """All columns of ``tokens`` and ``decoded``, the text of the column ``ids``; ids outside the model are skipped."""
-    texts, byte_of = model.texts, {i: b for b, i in enumerate(model.byte_ids or [])}
-    add_space = model.add_space
-    parts = [bytes([byte_of[i]]) if i in byte_of else t.replace(SPACE, " ").encode() for i, t in enumerate(texts)]
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    decoder = Decoder(model)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row in batch.column("ids"):
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                text = b"".join([parts[i] for i in row.values.to_pylist() if 0 <= i < len(parts)]).decode("utf-8", "replace")
-                out.append(text[1:] if add_space and text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
-
-    from pyspark.sql.types import StringType, StructField, StructType
+            for at in range(0, batch.num_rows, 256):  # a batch may hold long texts
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, decoder.texts(part.column("ids"))], names=[*part.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", StringType())]))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
     model = PieceModel.read(spark, f"file://{path}" if path.startswith("/") else path)
-    coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model, decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded").eqNullSafe(F.translate("text", SPACE, " "))).alias("round_trip"))

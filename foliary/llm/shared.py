@@ -212,9 +212,11 @@ class RollingHash:
     depend on its place. ``which`` chooses one of two independent hashes.
     """
 
-    def __init__(self, symbols: np.ndarray, which: int = 0):
+    def __init__(self, symbols: np.ndarray, which: int = 0, mixed: bool = False):
         base = _BASES[which]
-        if symbols.dtype == np.uint8:
+        if mixed:  # the symbols are random numbers already
+            pass
+        elif symbols.dtype == np.uint8:
             symbols = np.random.default_rng(_SEED + which).integers(0, 1 << 63, 256, np.uint64)[symbols] * np.uint64(2) + np.uint64(1)
         else:
             symbols = mix64(symbols + np.uint64(which * 2 + 1))
