@@ -16,7 +16,8 @@ encoded once:
 
 Blocks of documents send their distinct words to slices of the word space and
 receive their pieces; words over ``LONG`` characters, more than a mask has bits
-for, are joined with a heap in Python by the same rule.
+for, and words with pieces of equal scores, whose joins have no fixed order, are
+joined with a heap in Python by the same rule.
 Characters that aren't pieces become their UTF-8 bytes' pieces, or the unknown
 piece without byte fallback.
 
@@ -29,6 +30,7 @@ as a space; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -124,7 +126,7 @@ class PieceModel:
 
 
 class Cutter:
-    """Cuts texts into words: between characters that no piece joins."""
+    """Cuts texts into words, between characters that no piece joins, and knows the ids of pieces."""
 
     def __init__(self, model: PieceModel):
         chars = sorted({c for pair in model.joins for c in pair})
@@ -136,6 +138,32 @@ class Cutter:
             joins[self.number[ord(a)], self.number[ord(b)]] = True
         self.joins = joins.ravel()
         self.add_space = model.add_space
+        # a character by itself: its piece, or -1 - its code point
+        self.single = -1 - np.arange(0x110000, dtype=np.int32)
+        for p, _, i in model.pieces:
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        longer = [(p, i) for p, _, i in model.pieces if len(p) > 1]
+        points = np.frombuffer("".join(p for p, _ in longer).encode("utf-32-le"), np.uint32)
+        size = np.array([len(p) for p, _ in longer], np.int64)
+        hashes = self.hashes(points, self.number[points]).of(np.cumsum(size) - size, np.cumsum(size))
+        order = np.argsort(hashes)
+        self.piece_hash, self.piece_id = hashes[order], np.array([i for _, i in longer], np.int32)[order]
+
+    def hashes(self, points: np.ndarray, kind: np.ndarray) -> shared.RollingHash:
+        symbols = shared.mix64(np.arange(1, self.width + 1, dtype=np.uint64))[kind]
+        odd = np.flatnonzero(kind == 0)
+        symbols[odd] = shared.mix64(points[odd].astype(np.uint64) + np.uint64(1 << 40))
+        return shared.RollingHash(symbols, mixed=True)
+
+    def ids(self, points: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Ids of the pieces that begin at ``heads``."""
+        start = np.flatnonzero(heads)
+        end = np.append(start[1:], len(points)) if len(start) else start
+        out = self.single[points[start]]
+        long = np.flatnonzero(end - start > 1)
+        out[long] = self.piece_id[np.searchsorted(self.piece_hash, self.hashes(points, self.number[points]).of(start[long], end[long]))]
+        return out
 
     def words(self, block):
         """Code points of all texts, their numbers, the bounds of their words, and the number of words of each text."""
@@ -154,27 +182,39 @@ class Cutter:
 
 
 class _Words:
-    """Distinct words of a block, sorted by hash, and the word at each place."""
+    """Distinct words of a block, in order of (slice, first characters), and the word at each place."""
 
-    def __init__(self, cutter: Cutter, block):
+    def __init__(self, cutter: Cutter, block, bits: int):
         points, kind, bounds, self.counts = cutter.words(block)
         start, end = bounds[:-1], bounds[1:]
-        symbols = shared.mix64(np.arange(1, cutter.width + 1, dtype=np.uint64))[kind]
-        odd = np.flatnonzero(kind == 0)
-        symbols[odd] = shared.mix64(points[odd].astype(np.uint64) + np.uint64(1 << 40))
-        hashes = shared.RollingHash(symbols, mixed=True).of(start, end)
-        self.hash, index, self.which = np.unique(hashes, return_index=True, return_inverse=True)
-        self.points, self.start, self.end = points, start[index], end[index]
+        hashes = cutter.hashes(points, kind).of(start, end)
+        distinct, index, which = np.unique(hashes, return_index=True, return_inverse=True)
+        start, end = start[index], end[index]
+        piece = (distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
+        # words that begin alike stand together, which compresses better
+        head = np.zeros(len(distinct), np.uint64)
+        for i in range(4):
+            more = start + i < end
+            head = (head << np.uint64(16)) | np.where(more, kind[np.minimum(start + i, max(len(kind) - 1, 0))], 0).astype(np.uint64) if len(kind) else head
+        order = np.lexsort((distinct, head, piece))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.piece, self.which = piece[order], place[which]
+        self.points, self.start, self.end = points, start[order], end[order]
+
+    def spelled(self, a: int, b: int):
+        """Sizes of some of the distinct words, and their characters laid end to end."""
+        length = self.end[a:b] - self.start[a:b]
+        return length, self.points[np.repeat(self.start[a:b], length) + _within(length)]
 
     def pack(self, a: int, b: int) -> bytes:
         """Some of the distinct words: their sizes in bytes, and their UTF-8."""
         import zstandard
 
-        length = self.end[a:b] - self.start[a:b]
-        points = self.points[np.repeat(self.start[a:b], length) + _within(length)]
+        length, points = self.spelled(a, b)
         width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
         sizes = np.add.reduceat(width, np.cumsum(length) - length)
-        return zstandard.ZstdCompressor(level=1).compress(sizes.astype(np.uint32).tobytes() + points.tobytes().decode("utf-32-le").encode())
+        return zstandard.ZstdCompressor(level=3).compress(sizes.astype(np.uint32).tobytes() + points.tobytes().decode("utf-32-le").encode())
 
 
 def _within(count: np.ndarray) -> np.ndarray:
@@ -194,14 +234,16 @@ def _unpack(payload: bytes, n: int):
 
 
 def lattice(words: DataFrame, model: PieceModel, keys: list[str], singles: bool) -> DataFrame:
-    """keys, word, n, edges: the pieces in each word, grouped by word (keys + word must be distinct).
+    """keys, word, n, edges, tied: the pieces in each word, grouped by word (keys + word must be distinct).
 
     Pieces are met by their 64-bit hashes, as hash tables of numbers are faster.
     Without ``singles`` only pieces of two characters or more, and only words
     that have any.
     """
     spark = words.sparkSession
-    table = spark.createDataFrame([(p, float(s), i) for p, s, i in model.pieces if singles or len(p) > 1], "piece string, score double, id int").select(F.xxhash64("piece").alias("piece"), "score", "id")
+    times = Counter(s for _, s, _ in model.pieces)
+    table = spark.createDataFrame([(p, float(s), i, times[s] > 1) for p, s, i in model.pieces if singles or len(p) > 1], "piece string, score double, id int, tied boolean")
+    table = table.select(F.xxhash64("piece").alias("piece"), "score", "id", "tied")
     if len(model.pieces) <= BROADCAST_PIECES:
         table = F.broadcast(table)
     least = 1 if singles else 2
@@ -213,8 +255,8 @@ def lattice(words: DataFrame, model: PieceModel, keys: list[str], singles: bool)
     if singles:  # every character is an edge, piece or not
         edges = edges.where(F.col("id").isNotNull() | (F.col("size") == 1))
     edge = F.struct((-F.col("score")).alias("cost"), "start", (F.col("start") + F.col("size")).alias("end"), "id")
-    grouped = edges.groupBy(*keys, "__key", "n").agg(F.first("word").alias("word"), F.collect_list(edge).alias("edges"))
-    return grouped.select(*keys, "word", "n", "edges")
+    grouped = edges.groupBy(*keys, "__key", "n").agg(F.first("word").alias("word"), F.collect_list(edge).alias("edges"), F.max("tied").alias("tied"))
+    return grouped.select(*keys, "word", "n", "edges", "tied")
 
 
 def _let(value: Column, body) -> Column:
@@ -270,18 +312,22 @@ def viterbi_fold(n: Column, edges: Column, unknown: float) -> Column:
 
 
 def encode_words(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
-    """keys, word, pieces: (start, end, id) of the pieces in distinct short words; characters outside them stand alone."""
+    """keys, word, pieces: (start, end, id) of the pieces in distinct short words; characters outside them stand alone.
+
+    Null pieces: the fold can't tell (BPE pieces of equal score).
+    """
     grouped = lattice(words, model, keys, model.kind == "unigram")
     if model.kind == "bpe":
-        pieces = bpe_fold(F.col("n"), F.col("edges"))
+        # where several pieces share a score, the order of joins depends on the joins before
+        pieces = F.when(~F.col("tied"), bpe_fold(F.col("n"), F.col("edges")))
     else:
         lowest = min((s for _, s, _ in model.pieces), default=0.0)
         pieces = viterbi_fold(F.col("n"), F.col("edges"), lowest - 10.0)
     return grouped.select(*keys, "word", pieces.alias("pieces"))
 
 
-def join_by_heap(word: str, scores: dict[str, tuple[float, int]]) -> list[int]:
-    """The BPE rule for one long word."""
+def join_by_heap(word: str, scores: dict[str, float]) -> list[int]:
+    """Starts of the pieces of one word by the BPE rule."""
     n = len(word)
     end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap: list[tuple[float, int, int]] = []
@@ -289,7 +335,7 @@ def join_by_heap(word: str, scores: dict[str, tuple[float, int]]) -> list[int]:
     def offer(a):
         b = end[a]
         if b < n and (s := scores.get(word[a : end[b]])) is not None:
-            heapq.heappush(heap, (-s[0], a, end[b]))
+            heapq.heappush(heap, (-s, a, end[b]))
 
     for a in range(n - 1):
         offer(a)
@@ -305,32 +351,25 @@ def join_by_heap(word: str, scores: dict[str, tuple[float, int]]) -> list[int]:
         offer(a)
         if before[a] >= 0:
             offer(before[a])
-    out, a = [], 0
-    while a < n:
-        s = scores.get(word[a : end[a]])
-        out.append(s[1] if s else -1 - ord(word[a]))
-        a = end[a]
-    return out
+    return [a for a in range(n) if alive[a]]
 
 
-def _best_path(word: str, scores: dict[str, tuple[float, int]], longest: int) -> list[int]:
-    """Viterbi's rule for one long word."""
-    lowest = min((s for s, _ in scores.values()), default=0.0) - 10.0
+def _best_path(word: str, scores: dict[str, float], longest: int) -> list[int]:
+    """Starts of the pieces of one word by Viterbi's rule."""
+    lowest = min(scores.values(), default=0.0) - 10.0
     best = [(0.0, 0)]
     for at in range(1, len(word) + 1):
         options = []
         for size in range(1, min(longest, at) + 1):
             s = scores.get(word[at - size : at])
-            if s or size == 1:
-                options.append((best[at - size][0] + (s[0] if s else lowest), size - at))
+            if s is not None or size == 1:
+                options.append((best[at - size][0] + (lowest if s is None else s), size - at))
         score, back = max(options)
         best.append((score, -back))
     out, at = [], len(word)
     while at:
-        a = best[at][1]
-        s = scores.get(word[a:at])
-        out.append(s[1] if s else -1 - ord(word[a]))
-        at = a
+        at = best[at][1]
+        out.append(at)
     return out[::-1]
 
 
@@ -344,19 +383,13 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = shared.BLOCK_B
     bits = shared.slices_for(total, slice_bytes)
     slices = 1 << bits
     cutter = Cutter(model)
-    scores = {p: (s, i) for p, s, i in model.pieces}
-    # a character by itself: its piece, or -1 - its code point
-    single = -1 - np.arange(0x110000, dtype=np.int32)
-    for p, _, i in model.pieces:
-        if len(p) == 1:
-            single[ord(p)] = i
+    scores = {p: s for p, s, _ in model.pieces}
     byte_ids, unknown, kind, longest = model.byte_ids, model.unknown, model.kind, model.longest
 
     def ask(block_id, block):
-        words = _Words(cutter, block)
+        words = _Words(cutter, block, bits)
         rows = {"slice": [], "block": [], "n": [], "data": []}
-        piece = (words.hash >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words.hash), np.int64)
-        for g, a, b in shared.cut(piece):
+        for g, a, b in shared.cut(words.piece):
             rows["slice"].append(g)
             rows["block"].append(block_id)
             rows["n"].append(b - a)
@@ -383,48 +416,40 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = shared.BLOCK_B
         own = received(left)
         length = np.asarray(pc.utf8_length(own)).astype(np.int64)
         base = np.cumsum(length) - length
-        points = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "")[0].as_py().encode("utf-32-le"), np.uint32)
-        ids, heads = single[points], np.ones(len(points), bool)
+        heads = np.ones(int(length.sum()), bool)
+        open_words = length > LONG
         if right.num_rows:
             names, found = (pa.concat_arrays(right.column(c).chunks) for c in ("word", "pieces"))
-            pieces_in = np.asarray(pc.list_value_length(found)).astype(np.int64)
+            pieces_in = np.asarray(pc.fill_null(pc.list_value_length(found), 0)).astype(np.int64)
             flat = found.flatten()
-            start, end, piece = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "end", "id"))
+            start, end = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "end"))
             at = np.asarray(pc.fill_null(pc.index_in(own, value_set=names), -1)).astype(np.int64)
             have = np.flatnonzero(at >= 0)
+            open_words[have] = ~np.asarray(found.is_valid())[at[have]]
             n = pieces_in[at[have]]
             take = np.repeat((np.cumsum(pieces_in) - pieces_in)[at[have]], n) + _within(n)
-            shift = np.repeat(base[have], n)
-            ids[start[take] + shift] = piece[take]
             inner = end[take] - start[take] - 1
-            heads[np.repeat(start[take] + shift + 1, inner) + _within(inner)] = False
-        size = np.add.reduceat(heads, base).astype(np.int64)
-        out = ids[heads]
-        long = np.flatnonzero(length > LONG)
-        if len(long):
-            parts = np.split(out, np.cumsum(size)[:-1])
-            for i in long.tolist():
-                word = own[i].as_py()
-                parts[i] = np.array(join_by_heap(word, scores) if kind == "bpe" else _best_path(word, scores, longest), np.int32)
-                size[i] = len(parts[i])
-            out = np.concatenate(parts)
+            heads[np.repeat(start[take] + np.repeat(base[have], n) + 1, inner) + _within(inner)] = False
+        for i in np.flatnonzero(open_words).tolist():
+            word = own[i].as_py()
+            heads[base[i] : base[i] + len(word)] = False
+            heads[base[i] + np.array(join_by_heap(word, scores) if kind == "bpe" else _best_path(word, scores, longest))] = True
         counts = np.array(left.column("n").to_pylist())
-        ends = np.cumsum(counts)
-        totals = np.concatenate([[0], np.cumsum(size)])
-        data = [size[e - c : e].astype(np.int32).tobytes() + out[totals[e - c] : totals[e]].astype(np.int32).tobytes() for c, e in zip(counts, ends, strict=True)]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
+        sizes = np.diff(ends)
+        data = [shared.bits(heads[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         k = left.num_rows
-        return pa.table({"block": left.column("block"), "kind": pa.array([0] * k, pa.int32()), "slice": left.column("slice"), "n": left.column("n"), "data": pa.array(data, pa.binary())})
+        return pa.table({"block": left.column("block"), "kind": pa.array([0] * k, pa.int32()), "slice": left.column("slice"), "n": pa.array(sizes.astype(np.int32)), "data": pa.array(data, pa.binary())})
 
     replies = asked.groupBy("slice").cogroup(coded.groupBy("part")).applyInArrow(reply, shared.REPLY)
 
     def assemble(block_id, block, table):
-        words = _Words(cutter, block)
-        table = table.sort_by("slice")
-        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=True):
-            sizes.append(np.frombuffer(data, np.int32, n).astype(np.int64))
-            flats.append(np.frombuffer(data, np.int32, offset=4 * n))
-        size, flat = np.concatenate(sizes), np.concatenate(flats)
+        words = _Words(cutter, block, bits)
+        length, points = words.spelled(0, len(words.start))
+        heads = shared.replies_in_order(table, 0, len(points))
+        flat = cutter.ids(points, heads)
+        base = np.cumsum(length) - length
+        size = np.add.reduceat(heads, base).astype(np.int64) if len(base) else base
         begin = np.cumsum(size) - size
         n = size[words.which]
         ids = flat[np.repeat(begin[words.which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]

@@ -106,7 +106,7 @@ def _pack(ids, offsets, data, nulls, rows) -> bytes:
     id_null = np.array([ids[r] is None for r in rows], np.uint8)
     id_value = np.array([0 if ids[r] is None else ids[r] for r in rows], "<i8")
     head = np.array([len(rows)], "<i8").tobytes() + id_value.tobytes() + id_null.tobytes() + lengths.tobytes() + nulls[rows].astype(np.uint8).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + (np.concatenate(parts).tobytes() if parts else b""))
+    return zstandard.ZstdCompressor(level=5).compress(head + (np.concatenate(parts).tobytes() if parts else b""))
 
 
 def unpack_block(payloads) -> Block:
