@@ -150,8 +150,9 @@ class RunLengthIndex:
 
 def repeated_starts(data: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
     """For texts laid end to end: for each text in turn, whether the string at each of its starts occurs elsewhere."""
-    index = RunLengthIndex(data, lengths, 2 * length)
-    found = index.matching_statistics(2 * length) >= length
+    longest = int(lengths.max())  # streaming a match needs it in full, from its sample on
+    index = RunLengthIndex(data, lengths, longest)
+    found = index.matching_statistics(longest) >= length
     count = np.maximum(lengths - length + 1, 0)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     return found[np.repeat(index.starts, count) + offset]
