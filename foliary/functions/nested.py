@@ -76,3 +76,30 @@ def stored_date(answer: Column, include_time: bool, date_range: bool) -> Column:
     parts = F.split(answer, "/")
     kept = F.slice(parts, 1, 2 if date_range else 1)
     return F.array_join(F.transform(kept, lambda p: p if include_time else F.substring_index(p, "T", 1)), "/")
+
+
+def set_path(data: Column, path: str, value: Column) -> Column:
+    """A struct with the field at a dotted path replaced; nothing else changes."""
+    return data.withField(path, value)
+
+
+def schema_problems(compiled, schema) -> list[tuple[str, str]]:
+    """(path, problem) of the fields of a template that a record schema can't give."""
+    from pyspark.sql import types as T
+
+    fits = {"string": T.StringType, "number": T.NumericType, "boolean": T.BooleanType, "array": T.ArrayType, "date": (T.StringType, T.TimestampType, T.TimestampNTZType), "image": T.StructType}
+    out = []
+    for f in compiled.fields:
+        kind = schema
+        for name in f.path.replace("[]", ".[]").split("."):
+            if name == "[]":
+                kind = kind.elementType if isinstance(kind, T.ArrayType) else None
+            else:
+                kind = kind[name].dataType if isinstance(kind, T.StructType) and name in kind.fieldNames() else None
+            if kind is None:
+                break
+        if kind is None:
+            out.append((f.path, "TEMPLATE_VALUE_MISSING"))
+        elif f.kind in fits and not isinstance(kind, fits[f.kind]):
+            out.append((f.path, "TEMPLATE_VALUE_TYPE"))
+    return out

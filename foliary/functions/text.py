@@ -142,3 +142,17 @@ def sanitise_markup(text: Column) -> Column:
 def is_safe_part_path(path: Column) -> Column:
     """Relative, without backslash, NUL, or an empty or dotted segment."""
     return ~path.startswith("/") & ~path.contains("\\") & ~path.contains("\u0000") & F.forall(F.split(path, "/"), lambda s: ~s.isin("", ".", ".."))
+
+
+def continue_bullet(text: str, at: int) -> tuple[str, int]:
+    """Text and place after Enter at ``at``: a list goes on with its bullet; Enter on an empty bullet ends it."""
+    start = text.rfind("\n", 0, at) + 1
+    line = text[start:at]
+    lead = line[: len(line) - len(line.lstrip(" \t"))]
+    mark = line[len(lead) : len(lead) + 2]
+    if mark not in ("• ", "- "):
+        return text[:at] + "\n" + text[at:], at + 1
+    if line[len(lead) + 2 :].strip() == "":
+        return text[:start] + text[at:], start
+    added = f"\n{lead}• "
+    return text[:at] + added + text[at:], at + len(added)

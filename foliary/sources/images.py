@@ -66,3 +66,81 @@ def check_png(content: bytes, max_side: int = 100_000) -> str | None:
         if name == b"IEND":
             return None if at == len(content) and b"IDAT" in seen else "images/png-end"
     return "images/png-end"
+
+
+def decode_png(content: bytes):
+    """(width, height, channels, samples) of an eight-bit PNG without interlacing or palette; None if it isn't one."""
+    import numpy as np
+
+    if check_png(content) is not None:
+        return None
+    width, height = int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    depth, kind, _, _, interlace = content[24:29]
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
+    if depth != 8 or channels is None or interlace:
+        return None
+    packed, at = b"", 8
+    while at < len(content):
+        size, name = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        packed += content[at + 8 : at + 8 + size] if name == b"IDAT" else b""
+        at += 12 + size
+    raw = zlib.decompress(packed)
+    stride = width * channels
+    if len(raw) != height * (stride + 1):
+        return None
+    out = np.zeros((height + 1, stride + channels), np.int64)  # a row and a pixel of zeros before
+    for y in range(height):
+        mode, line = raw[y * (stride + 1)], np.frombuffer(raw, np.uint8, stride, y * (stride + 1) + 1).astype(np.int64)
+        row, above = out[y + 1], out[y]
+        if mode == 0:
+            row[channels:] = line
+        elif mode == 2:
+            row[channels:] = (line + above[channels:]) & 255
+        elif mode == 1:
+            for c in range(channels):
+                row[channels + c :: channels] = np.cumsum(line[c::channels]) & 255
+        elif mode in (3, 4):
+            for x in range(stride):
+                a, b, c = int(row[x]), int(above[x + channels]), int(above[x])
+                if mode == 3:
+                    guess = (a + b) // 2
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                row[x + channels] = (int(line[x]) + guess) & 255
+        else:
+            return None
+    return width, height, channels, out[1:, channels:].astype(np.uint8).tobytes()
+
+
+def split_alpha(channels: int, samples: bytes) -> tuple[bytes, bytes | None]:
+    """Colour samples and, if there is one, the plane of transparency."""
+    import numpy as np
+
+    if channels in (1, 3):
+        return samples, None
+    pixels = np.frombuffer(samples, np.uint8).reshape(-1, channels)
+    return pixels[:, :-1].tobytes(), pixels[:, -1].tobytes()
+
+
+def check_jpeg(content: bytes) -> tuple[int, int] | str:
+    """(width, height) of a baseline or progressive JPEG, or the first reason why it is refused."""
+    if content[:2] != b"\xff\xd8":
+        return "images/jpeg-signature"
+    at, size = 2, None
+    while at + 4 <= len(content):
+        if content[at] != 0xFF:
+            return "images/jpeg-marker"
+        marker, length = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if marker in (0xC0, 0xC1, 0xC2):
+            if content[at + 4] != 8:
+                return "images/jpeg-depth"
+            size = int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+            if content[at + 9] not in (1, 3, 4):
+                return "images/jpeg-components"
+        elif marker == 0xDA:
+            if size is None:
+                return "images/jpeg-scan"
+            return size if content.rstrip(b"\0").endswith(b"\xff\xd9") else "images/jpeg-end"
+        at += 2 + length
+    return "images/jpeg-end"
