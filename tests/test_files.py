@@ -55,3 +55,44 @@ def test_images(spark):
     rows = spark.createDataFrame([(good,), (b"GIF89a\x05\x00\x07\x00",), (b"\xff\xd8\xff",), (b"RIFF0000WEBP",), (b"<svg/>",), (b"",)], "c binary").select(images.sniff(F.col("c")).alias("k"), images.size_of(F.col("c")).alias("s")).collect()
     assert [r.k for r in rows] == ["image/png", "image/gif", "image/jpeg", "image/webp", "image/svg+xml", None]
     assert tuple(rows[0].s) == (3, 2) and tuple(rows[1].s) == (5, 7)
+
+
+def test_png_is_decoded():
+    import random
+
+    rng = random.Random(2)
+    samples = bytes(rng.randrange(256) for _ in range(5 * 4 * 3))
+    assert images.decode_png(images.png(5, 4, samples)) == (5, 4, 3, samples)
+    assert images.split_alpha(4, bytes([1, 2, 3, 9, 4, 5, 6, 8])) == (bytes([1, 2, 3, 4, 5, 6]), bytes([9, 8]))
+
+
+def test_png_filters():
+    import zlib
+
+    # two rows of one channel; every filter gives back 10 20 30 / 11 22 33
+    first = {0: [10, 20, 30], 1: [10, 10, 10], 2: [10, 20, 30], 3: [10, 15, 20], 4: [10, 10, 10]}
+    second = {0: [11, 22, 33], 1: [11, 11, 11], 2: [1, 2, 3], 3: [6, 7, 7], 4: [1, 2, 3]}
+
+    def chunk(name, data):
+        return len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+
+    for mode in range(5):
+        raw = bytes([mode, *first[mode], mode, *second[mode]])
+        content = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (3).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+        assert images.decode_png(content)[3] == bytes([10, 20, 30, 11, 22, 33]), mode
+
+
+def test_jpeg_headers():
+    frame = b"\xff\xc0\x00\x0b\x08\x00\x07\x00\x05\x01\x11\x00\x00"
+    scan = b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00\x00"
+    assert images.check_jpeg(b"\xff\xd8" + frame + scan + b"\xff\xd9") == (5, 7)
+    assert images.check_jpeg(b"\xff\xd8" + scan + b"\xff\xd9") == "images/jpeg-scan"
+    assert images.check_jpeg(b"\xff\xd8" + frame + scan) == "images/jpeg-end" and images.check_jpeg(b"") == "images/jpeg-signature"
+
+
+def test_rasters_and_literals():
+    from foliary.sources.data import decode_literal, read_ppm, write_ppm
+
+    assert read_ppm(write_ppm(2, 1, bytes(6))) == (2, 1, bytes(6)) and read_ppm(b"P6 2 2 255\n123") is None
+    assert decode_literal(rb"a\(b\)\\\101\n\
+c") == b"a(b)\\A\nc"

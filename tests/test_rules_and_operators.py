@@ -81,3 +81,38 @@ def test_widths_are_solved():
     assert layout.solve_widths([{"kind": "hug", "content": 400, "low": 80}, {"kind": "fixed", "width": 100}], 300) == [200, 100]
     assert layout.column_boxes(1000, 3, 20) == [(0, 320), (340, 320), (680, 320)]
     assert layout.snap_page(11900, 16840) == (11906, 16838)
+
+
+@pytest.mark.parametrize(
+    ("rows", "room", "expected"),
+    [
+        ([{"height": 250, "step": 100}], 200, [(0, 0, 0, 200, 0, False), (1, 0, 200, 250, 0, False)]),
+        ([{"height": 100, "step": 100}, {"height": 150, "step": 50, "cant_split": True}], 200, [(0, 0, 0, 100, 0, False), (1, 1, 0, 150, 0, False)]),
+        ([{"height": 50, "step": 50, "header": True}, {"height": 200, "step": 50}], 150, [(0, 0, 0, 50, 0, False), (0, 1, 0, 100, 50, False), (1, 0, 0, 50, 0, True), (1, 1, 100, 200, 50, False)]),
+        ([{"height": 90, "step": 90}], 50, [(0, 0, 0, 90, 0, False)]),
+    ],
+)
+def test_table_fragments(rows, room, expected):
+    from foliary.operators.paint import place_rows
+
+    assert place_rows(rows, room) == expected
+
+
+def test_trees_of_options_and_bullets():
+    from foliary.functions.nested import option_text, option_tree
+    from foliary.functions.text import continue_bullet
+
+    nodes = option_tree("Fruit\n  Red apple\n\tPear\nOther")
+    assert nodes == [("fruit", None, "Fruit"), ("fruit/red_apple", "fruit", "Red apple"), ("fruit/pear", "fruit", "Pear"), ("other", None, "Other")]
+    assert option_text(nodes) == "Fruit\n  Red apple\n  Pear\nOther"
+    assert continue_bullet("• a", 3) == ("• a\n• ", 6) and continue_bullet("• a\n• ", 6) == ("• a\n", 4) and continue_bullet("x", 1) == ("x\n", 2)
+
+
+def test_schema_problems(spark):
+    from foliary.functions.nested import schema_problems
+    from foliary.plans.template import compile_template
+
+    compiled = compile_template(["{{a:number}} {{b.c | upper}}", "{{#each rows}}", "{{n:boolean}}", "{{/each}}"])
+    schema = spark.sql("SELECT 'x' AS a, named_struct('c', 1) AS b, array(named_struct('n', true)) AS rows").schema
+    assert schema_problems(compiled, schema) == [("a", "TEMPLATE_VALUE_TYPE"), ("b.c", "TEMPLATE_VALUE_TYPE")]
+    assert ("rows[].n", "TEMPLATE_VALUE_MISSING") in schema_problems(compiled, spark.sql("SELECT 1 AS a").schema)
