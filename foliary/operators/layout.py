@@ -200,3 +200,77 @@ def snap_page(width: int, height: int, tolerance: int = 20) -> tuple[int, int]:
                 return size
         short, long = long // 2, short
     return width, height
+
+
+def intrinsic_widths(cells: list[tuple[int, int, int]], columns: int) -> list[int]:
+    """Content widths of a table's columns from (column, span, width) of its cells.
+
+    Cells of one column set its width; what a wider cell lacks over its columns is
+    shared out evenly, the first ones taking one more for the remainder.
+    """
+    out = [0] * columns
+    for column, span, width in cells:
+        if span == 1:
+            out[column] = max(out[column], width)
+    for column, span, width in sorted(c for c in cells if c[1] > 1):
+        lack = width - sum(out[column : column + span])
+        if lack > 0:
+            base, rest = divmod(lack, span)
+            for k in range(span):
+                out[column + k] += base + (k < rest)
+    return out
+
+
+def row_heights(rows: list[dict], cells: list[tuple[int, int, int]]) -> list[int] | str:
+    """Heights of a table's rows from (first row, rows merged, height) of its cells, or a diagnostic's code.
+
+    A row may have ``rule`` (exact, atLeast) and ``height``. What a merged cell
+    lacks over its rows is added to the last of them, unless that one is exact.
+    """
+    out = []
+    for i, row in enumerate(rows):
+        content = max((h for first, n, h in cells if first == i and n == 1), default=0)
+        rule, fixed = row.get("rule"), row.get("height", 0)
+        if rule == "exact" and content > fixed:
+            return "layout/table-row-too-small"
+        out.append(max(1, fixed if rule == "exact" else max(content, fixed)))
+    for first, n, height in sorted(c for c in cells if c[1] > 1):
+        lack = height - sum(out[first : first + n])
+        last = first + n - 1
+        if lack > 0:
+            if rows[last].get("rule") == "exact":
+                return "layout/table-vertical-merge-expanded-exact-row"
+            out[last] += lack
+    return out
+
+
+def content_top(align: str, region: int, insets: int, content: int) -> int:
+    """Offset of a cell's content in its region (for merged cells, of the whole chain)."""
+    extra = max(0, region - insets - content)
+    return extra // 2 if align == "center" else extra if align == "bottom" else 0
+
+
+def justify(words: list[int], room: int) -> list[int]:
+    """Additions to the gaps between words that fill a wrapped line: equal, the first ones one more."""
+    gaps = len(words) - 1
+    lack = room - sum(words)
+    if gaps <= 0 or lack <= 0:
+        return [0] * max(gaps, 0)
+    base, rest = divmod(lack, gaps)
+    return [base + (i < rest) for i in range(gaps)]
+
+
+def baseline(top: int, ascent: int, height: int, natural: int) -> int:
+    return top + ascent + max(0, height - natural) // 2
+
+
+def page_field_width(limit: int, digit: int) -> int:
+    """Room kept for a page number before the number of pages is known."""
+    return len(str(limit)) * digit
+
+
+def merge_breaks(automatic: list[dict], manual: list[dict]) -> list[dict]:
+    """Page breaks in order of position; where both are at one, the manual one stays."""
+    found = {b["at"]: {**b, "kind": "automatic"} for b in automatic}
+    found |= {b["at"]: {**b, "kind": "manual"} for b in manual}
+    return [found[k] for k in sorted(found)]

@@ -116,3 +116,13 @@ def test_schema_problems(spark):
     schema = spark.sql("SELECT 'x' AS a, named_struct('c', 1) AS b, array(named_struct('n', true)) AS rows").schema
     assert schema_problems(compiled, schema) == [("a", "TEMPLATE_VALUE_TYPE"), ("b.c", "TEMPLATE_VALUE_TYPE")]
     assert ("rows[].n", "TEMPLATE_VALUE_MISSING") in schema_problems(compiled, spark.sql("SELECT 1 AS a").schema)
+
+
+def test_table_geometry():
+    assert layout.intrinsic_widths([(0, 1, 10), (1, 1, 20), (0, 2, 41), (2, 1, 5)], 3) == [16, 25, 5]
+    assert layout.row_heights([{}, {"rule": "atLeast", "height": 50}], [(0, 1, 20), (1, 1, 30), (0, 2, 90)]) == [20, 70]
+    assert layout.row_heights([{"rule": "exact", "height": 10}], [(0, 1, 20)]) == "layout/table-row-too-small"
+    assert [layout.content_top(a, 100, 10, 31) for a in ("top", "center", "bottom")] == [0, 29, 59]
+    assert layout.justify([10, 10, 10], 41) == [6, 5] and layout.justify([10], 40) == []
+    assert layout.baseline(100, 80, 130, 101) == 194 and layout.page_field_width(500, 111) == 333
+    assert layout.merge_breaks([{"at": 5}, {"at": 2}], [{"at": 5}]) == [{"at": 2, "kind": "automatic"}, {"at": 5, "kind": "manual"}]
