@@ -128,9 +128,9 @@ def find_all(text: Column, needle: str) -> Column:
 
 def sanitise_markup(text: Column) -> Column:
     """Drop doctypes, active elements, event attributes and links that leave the document."""
-    out = F.regexp_replace(text, "^﻿", "")
+    # fixed values: the patterns and the elements that can run or load something
+    out = F.regexp_replace(text, "^\ufeff", "")
     out = F.regexp_replace(out, r"(?is)<!(?:DOCTYPE|ENTITY).*?>", "")
-    # fixed values: elements that can run or load something
     for name in ("script", "foreignobject", "handler", "animate", "animatetransform", "animatemotion", "set", "audio", "video", "iframe", "object", "embed"):
         out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*(?:/>|>.*?</{name}\s*>)", "")
     out = F.regexp_replace(out, r"""\s(?:[oO][nN][a-zA-Z]+)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")

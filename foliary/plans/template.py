@@ -17,11 +17,13 @@ from foliary.functions.text import RESERVED
 
 MAX_DEPTH = 32
 KINDS = ("string", "number", "boolean", "date")
+# fixed values: the grammar of paths, values, markers and quoted arguments, and the image tags that are refused
 _SEGMENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _PATH = r"[A-Za-z_$][A-Za-z0-9_$.]*"
 _VALUE = re.compile(rf"({_PATH})(?:\s*:\s*([A-Za-z]+))?")
 _MARKER = re.compile(rf"\{{\{{\s*(?:#(if|each)\s+({_PATH})|(else)|/(if|each))\s*\}}\}}")
 _QUOTED = re.compile(r"""(["'])([^"']*)\1""")
+_OLD_IMAGE = re.compile(r"image(?:\s|:|\()|.*:\s*image(?:\s*\|.*)?$", re.I | re.S)
 
 
 @dataclass(frozen=True)
@@ -128,7 +130,7 @@ def parse_value(raw: str) -> Tag | str:
     body = raw.strip()
     if body[:1] in ("#", "/") or body == "else" or body.startswith("else "):
         return "TEMPLATE_BLOCK_MARKER_PLACEMENT"
-    if re.match(r"image(?:\s|:|\()", body, re.I) or re.search(r":\s*image(?:\s*\|.*)?$", body, re.I):
+    if _OLD_IMAGE.match(body):
         return "TEMPLATE_UNSUPPORTED_IMAGE_TAG"
     if body.startswith("@image"):
         m = re.fullmatch(rf"@image\s+({_PATH})", body)
