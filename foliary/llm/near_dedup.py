@@ -288,12 +288,12 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["key", "set"])
 
     texts = _texts(docs).join(wanted.select("doc_id", F.col("key").alias("want")), "doc_id").mapInArrow(sets, "key binary, set binary")
-    # rows with equal doc_id and text give a set each
-    links = _verify(pairs, shared.materialise(texts).dropDuplicates(["key"]), threshold)
+    # rows with equal doc_id and text give a set each; written, so that joins on a hot key can be split
+    links = _verify(pairs, shared.materialise(texts.dropDuplicates(["key"])), threshold)
     labels = components(shared.materialise(links))
     named = signed.select("doc_id", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("class_key"))
     named = shared.materialise(named)
-    least = named.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
+    least = shared.materialise(named.groupBy("class_key").agg(F.min("doc_id").alias("class_id")))
     return named.join(least, "class_key").select("doc_id", "class_id", "key")
 
 
