@@ -36,6 +36,7 @@ GROUPS = 8
 AGREE = 0.6
 ROUNDS = 2
 MIN_DOCS = 8
+SALTS = 16
 _LAST = (1 << 63) - 1
 
 
@@ -80,7 +81,10 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, groups: i
     identity = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__key": F.xxhash64(text)}
     lines = shared.materialise(_lines(docs.select(identity["__id"].alias("id"), text.alias("text"), identity["__key"].alias("text_key")), lead, groups))
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("leaf")
-    by_doc = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line", "id", "text_key").agg(F.min("pos").alias("pos"), F.first("parts").alias("parts"), F.collect_set("pos").alias("at"))
+    # a leaf with a third of all lines is dealt over SALTS tasks
+    salted = lines.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+    leaves = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_doc = salted.join(leaves, ["leaf", "salt"], "left_semi").groupBy("leaf", "line", "id", "text_key").agg(F.min("pos").alias("pos"), F.first("parts").alias("parts"), F.collect_set("pos").alias("at"))
     by_doc = shared.materialise(by_doc)
     templates = shared.materialise(_templates(by_doc, agree, rounds, groups))
     named = by_doc.select("leaf", "line", "id", "text_key", "at").join(templates, ["leaf", "line"])
