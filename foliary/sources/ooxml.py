@@ -272,3 +272,33 @@ def unsupported(parts: DataFrame) -> DataFrame:
 def border_width(eighths: Column) -> Column:
     """Twips of a width in eighths of a point."""
     return F.floor(eighths * 20 / 8 + 0.5).cast("long")
+
+
+def fallback_allowed(mode: Column, needed: Column) -> Column:
+    """Whether a reading mode is lenient enough: strict, then compatible, then lenient."""
+    order = F.array(F.lit("strict"), F.lit("compatible"), F.lit("lenient"))
+    return F.array_position(order, mode) >= F.array_position(order, needed)
+
+
+def metadata(parts: DataFrame, name: str) -> DataFrame:
+    """path, value: a JSON part beside the document, as a variant; null where it doesn't parse."""
+    return parts.where(F.col("part") == name).select("path", F.try_parse_json(F.decode("content", "UTF-8")).alias("value"))
+
+
+def paragraph_properties(parts: DataFrame) -> DataFrame:
+    """path, paragraph and its alignment, spacing, indents, keeps, break before and list reference; a hanging indent is a negative first line."""
+    fields = "paragraph int, align string, before int, after int, line int, line_rule string, start int, end int, first_line int, keep_next boolean, keep_lines boolean, break_before boolean, num_id int, level int"
+
+    def rows(_, root):
+        for i, node in enumerate(root.iter(f"{W}p")):
+            props = node.find(f"{W}pPr")
+            get = lambda name, attribute: None if props is None or props.find(f"{W}{name}") is None else _number(props.find(f"{W}{name}").get(f"{W}{attribute}"))  # noqa: B023, E731
+            hanging, start, end = get("ind", "hanging"), get("ind", "start"), get("ind", "end")
+            numbered = None if props is None else props.find(f"{W}numPr")
+            yield {
+                "paragraph": i, "align": ALIGNMENTS.get(_value(props, "jc")), "before": get("spacing", "before"), "after": get("spacing", "after"), "line": get("spacing", "line"), "line_rule": _value(props, "spacing", "lineRule"),
+                "start": get("ind", "left") if start is None else start, "end": get("ind", "right") if end is None else end, "first_line": get("ind", "firstLine") if hanging is None else -hanging,
+                "keep_next": _on(props, "keepNext"), "keep_lines": _on(props, "keepLines"), "break_before": _on(props, "pageBreakBefore"), "num_id": _number(_value(numbered, "numId")), "level": _number(_value(numbered, "ilvl")),
+            }
+
+    return _read(parts, F.col("part") == "word/document.xml", fields, rows)

@@ -96,3 +96,23 @@ def test_rasters_and_literals():
     assert read_ppm(write_ppm(2, 1, bytes(6))) == (2, 1, bytes(6)) and read_ppm(b"P6 2 2 255\n123") is None
     assert decode_literal(rb"a\(b\)\\\101\n\
 c") == b"a(b)\\A\nc"
+
+
+def test_paragraph_properties_and_metadata(spark):
+    import io
+    import zipfile
+
+    from foliary.sources import ooxml
+
+    body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:pPr><w:jc w:val="end"/><w:spacing w:before="120" w:line="276" w:lineRule="auto"/><w:ind w:left="720" w:hanging="360"/><w:keepNext/><w:pageBreakBefore w:val="0"/><w:numPr><w:ilvl w:val="1"/><w:numId w:val="3"/></w:numPr></w:pPr></w:p><w:p/></w:body></w:document>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", body)
+        archive.writestr("meta.json", '{"a": 1}')
+    parts = open_packages(spark.createDataFrame([("p", out.getvalue())], "path string, content binary"))
+    first, second = ooxml.paragraph_properties(parts).orderBy("paragraph").drop("path", "part", "paragraph").collect()
+    assert tuple(first) == ("right", 120, None, 276, "auto", 720, None, -360, True, None, False, 3, 1)
+    assert all(v is None for v in second)
+    assert ooxml.metadata(parts, "meta.json").selectExpr("variant_get(value, '$.a', 'int') AS a").first().a == 1
+    allowed = spark.createDataFrame([("strict", "lenient"), ("lenient", "compatible")], "m string, n string").select(ooxml.fallback_allowed(F.col("m"), F.col("n")).alias("x"))
+    assert [r.x for r in allowed.collect()] == [False, True]
