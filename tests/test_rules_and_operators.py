@@ -126,3 +126,18 @@ def test_table_geometry():
     assert layout.justify([10, 10, 10], 41) == [6, 5] and layout.justify([10], 40) == []
     assert layout.baseline(100, 80, 130, 101) == 194 and layout.page_field_width(500, 111) == 333
     assert layout.merge_breaks([{"at": 5}, {"at": 2}], [{"at": 5}]) == [{"at": 2, "kind": "automatic"}, {"at": 5, "kind": "manual"}]
+
+
+def test_adapters():
+    from foliary.plans.adapters import from_fields, questions_from_fields, to_fields
+    from foliary.plans.template import compile_template
+
+    form = [
+        Question("a", "A", "short_text", required=True), Question("b", "B", "select", options=("x/y", "z"), visible=Condition((Rule("a", "eq", "1"), Rule("a", "is_set")))),
+        Question("c", "C", "signature"), Question("d", "D", "number", visible=Condition((Rule("a", "gt", 1.0),))),
+    ]
+    fields, lost = to_fields(form)
+    assert lost == [("b", "NESTED_OPTIONS_FLATTENED"), ("b", "CONDITION_SIMPLIFIED"), ("c", "UNREPRESENTABLE_KIND"), ("d", "UNREPRESENTABLE_CONDITION")]
+    again = from_fields(fields)
+    assert again[0] == form[0] and again[1].options == ("y", "z") and again[1].visible == Condition((Rule("a", "eq", "1"),))
+    assert [(q.key, q.label, q.kind) for q in questions_from_fields(compile_template(["{{due_date | date}} {{x.total:number}}", "{{#each r}}", "{{n}}", "{{/each}}"]).fields)] == [("due_date", "Due Date", "date"), ("x.total", "X Total", "number")]
