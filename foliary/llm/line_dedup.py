@@ -59,6 +59,11 @@ def _lines(docs: DataFrame, lead: int, groups: int) -> DataFrame:
     return lines.select("id", "text_key", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead)).alias("leaf"), F.xxhash64("masked").alias("line"), parts.alias("parts"))
 
 
+def _salted(leaves: DataFrame) -> DataFrame:
+    """A row for each of the tasks that a leaf is dealt over."""
+    return leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _templates(by_doc: DataFrame, agree: float, rounds: int, groups: int) -> DataFrame:
     """leaf, line, template: the template of each distinct line."""
     found = by_doc.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "text_key", "pos")).alias("first"), F.first("parts").alias("parts"), F.lit(None).cast("long").alias("template"))
@@ -67,11 +72,11 @@ def _templates(by_doc: DataFrame, agree: float, rounds: int, groups: int) -> Dat
         rank = F.struct(F.when(F.col("template").isNull(), F.col("docs")).alias("docs"), (-F.col("first.id")).alias("a"), (-F.col("first.text_key")).alias("b"), (-F.col("first.pos")).alias("c"))
         open_rows = found.where(F.col("template").isNull())
         seeds = open_rows.groupBy("leaf").agg(F.max_by(F.struct("line", "parts"), rank).alias("seed"))
-        found = found.join(seeds, "leaf", "left")
+        found = found.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int")).join(_salted(seeds), ["leaf", "salt"], "left")
         same = sum((F.col("parts")[i].eqNullSafe(F.col("seed.parts")[i]) & F.col("parts")[i].isNotNull()).cast("int") for i in range(groups))
         held = sum((F.col("parts")[i].isNotNull() | F.col("seed.parts")[i].isNotNull()).cast("int") for i in range(groups))
         joins = (F.col("line") == F.col("seed.line")) | ((held > 0) & (same >= held * F.lit(agree)))
-        found = found.withColumn("template", F.when(F.col("template").isNull() & joins, F.col("seed.line")).otherwise(F.col("template"))).drop("seed")
+        found = found.withColumn("template", F.when(F.col("template").isNull() & joins, F.col("seed.line")).otherwise(F.col("template"))).drop("seed", "salt")
     return found.select("leaf", "line", F.coalesce("template", "line").alias("template"))
 
 
@@ -83,8 +88,7 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, groups: i
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("leaf")
     # a leaf with a third of all lines is dealt over SALTS tasks
     salted = lines.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
-    leaves = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_doc = salted.join(leaves, ["leaf", "salt"], "left_semi").groupBy("leaf", "line", "id", "text_key").agg(F.min("pos").alias("pos"), F.first("parts").alias("parts"), F.collect_set("pos").alias("at"))
+    by_doc = salted.join(_salted(leaves), ["leaf", "salt"], "left_semi").groupBy("leaf", "line", "id", "text_key").agg(F.min("pos").alias("pos"), F.first("parts").alias("parts"), F.collect_set("pos").alias("at"))
     by_doc = shared.materialise(by_doc)
     templates = shared.materialise(_templates(by_doc, agree, rounds, groups))
     named = by_doc.select("leaf", "line", "id", "text_key", "at").join(templates, ["leaf", "line"])

@@ -45,7 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
             path = tempfile.mkdtemp(prefix="foliary-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
             root = shared_dir.own = f"file://{path}"
-    return f"{root.rstrip('/')}/foliary-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/foliary-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+_written: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete every folder that this process has written; results that still read from them are gone, too."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

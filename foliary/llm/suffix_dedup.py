@@ -47,7 +47,7 @@ ANCHOR = 64
 HOT = 512
 #: Bytes of text per index bucket, about, counted over the whole corpus.
 BUCKET_BYTES = 2_000_000
-PER_SLICE = 1_000_000
+PER_SLICE = 250_000
 _PLACE_BITS = 28
 _MIXED, _HOT, _TWICE, _OWNER, _MARKS, _STRINGS = range(6)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
