@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions import counters, dates, hashing, measure, numbers, text
 from foliary.plans.catalog import query
-from foliary.session import table
+from foliary.session import spread, table
 
 
 @query("fmt_upper_lower", "SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low FROM part")
@@ -111,7 +111,7 @@ def text_normalise(spark, sf_dir):
 @query("tokenise_ranges", "SELECT doc_id, len(regexp_extract_all(text, '\\r\\n|\\r|\\n|[\\t ]+|[^\\r\\n\\t ]+'))::INT AS tokens, len(list_filter(regexp_extract_all(text, '\\r\\n|\\r|\\n|[\\t ]+|[^\\r\\n\\t ]+'), lambda x: x = chr(10)))::INT AS breaks FROM documents")
 def tokenise_ranges(spark, sf_dir):
     found = text.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("tokens"), F.size(F.filter(found, lambda t: t == "\n")).alias("breaks"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.size(found).alias("tokens"), F.size(F.filter(found, lambda t: t == "\n")).alias("breaks"))
 
 
 @query("split_formatter_pipes", "SELECT p_partkey, [p_brand, 'currency:\"A|B\"', lower(p_type)] AS parts FROM part")
@@ -170,7 +170,7 @@ def standard_width(spark, sf_dir):
 
 @query("standard_width_documents", f"SELECT doc_id, {_width_sql('text', 220)} AS twips FROM documents")
 def standard_width_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", measure.width(F.col("text"), 220).alias("twips"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", measure.width(F.col("text"), 220).alias("twips"))
 
 
 @query("unit_conversions", "SELECT p_partkey, floor(p_retailprice * 20 + 0.5)::BIGINT AS twips, floor(p_size * 2 / 3.0 + 0.5)::BIGINT AS script, CASE WHEN p_size % 2 = 0 THEN -floor(p_size / 3.0 + 0.5) ELSE floor(p_size / 6.0 + 0.5) END::BIGINT AS shift FROM part")

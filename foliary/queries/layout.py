@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from foliary.functions import hashing
 from foliary.operators import layout
 from foliary.plans.catalog import query
-from foliary.session import table
+from foliary.session import spread, table
+
+
+def _documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query("wrap_lines")
 def wrap_lines(spark, sf_dir):
-    talks = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    talks = spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), "doc_id")
     return layout.wrap(talks, 9000, 220)
 
 
@@ -21,22 +25,22 @@ _LINES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1
 
 @query("wrap_unbounded", f"SELECT doc_id, pos::INT AS paragraph, 0 AS line, length(rtrim(line, ' ' || chr(9)))::INT AS n FROM ({_LINES})")
 def wrap_unbounded(spark, sf_dir):
-    return layout.wrap(table(spark, sf_dir, "documents"), 1 << 40, 220).select("doc_id", "paragraph", "line", F.length("text").alias("n"))
+    return layout.wrap(_documents(spark, sf_dir), 1 << 40, 220).select("doc_id", "paragraph", "line", F.length("text").alias("n"))
 
 
 @query("paginate_fixed", f"SELECT doc_id, (pos // 50)::INT AS page, pos::INT AS paragraph, 0 AS first_line, 0 AS last_line, (pos % 50 * 264)::BIGINT AS top FROM ({_LINES})")
 def paginate_fixed(spark, sf_dir):
-    return layout.paginate(table(spark, sf_dir, "documents"), 1 << 40, 220, 50 * 264, 264)
+    return layout.paginate(_documents(spark, sf_dir), 1 << 40, 220, 50 * 264, 264)
 
 
 @query("paginate_widow")
 def paginate_widow(spark, sf_dir):
-    return layout.paginate(table(spark, sf_dir, "documents"), 9026, 220, 13958, 264, spacing=120)
+    return layout.paginate(_documents(spark, sf_dir), 9026, 220, 13958, 264, spacing=120)
 
 
 @query("page_counts", "SELECT doc_id, ((len(string_split(text, chr(10))) - 1) // 50 + 1)::INT AS pages FROM documents")
 def page_counts(spark, sf_dir):
-    placed = layout.paginate(table(spark, sf_dir, "documents"), 1 << 40, 220, 50 * 264, 264)
+    placed = layout.paginate(_documents(spark, sf_dir), 1 << 40, 220, 50 * 264, 264)
     return placed.groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
 
 
@@ -44,14 +48,14 @@ def page_counts(spark, sf_dir):
 def page_files(spark, sf_dir):
     from foliary.sinks.pdf import render_files
 
-    return render_files(table(spark, sf_dir, "documents")).select("doc_id", "pages", F.octet_length("content").alias("size"), hashing.sha256(F.col("content")).alias("digest"), "problem")
+    return render_files(_documents(spark, sf_dir)).select("doc_id", "pages", F.octet_length("content").alias("size"), hashing.sha256(F.col("content")).alias("digest"), "problem")
 
 
 @query("stored_artifact_check", "SELECT doc_id, true AS is_pdf FROM documents")
 def stored_artifact_check(spark, sf_dir):
     from foliary.sinks.pdf import render_files
 
-    return render_files(table(spark, sf_dir, "documents")).select("doc_id", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"))
+    return render_files(_documents(spark, sf_dir)).select("doc_id", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"))
 
 
 @query("package_round_trip", "SELECT doc_id, sha256(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]', '', 'g')) AS digest FROM documents")
@@ -68,7 +72,7 @@ def package_round_trip(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array([write_package(t.split("\n")) for t in texts], pa.binary())], names=["path", "content"])
 
     clean = F.regexp_replace("text", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]", "")
-    files = table(spark, sf_dir, "documents").select("doc_id", clean.alias("text")).mapInArrow(pack, "path string, content binary")
+    files = _documents(spark, sf_dir).select("doc_id", clean.alias("text")).mapInArrow(pack, "path string, content binary")
     lines = paragraphs(open_packages(files)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("p"))
     return lines.select(F.col("path").cast("long").alias("doc_id"), hashing.sha256(F.array_join(F.transform("p", lambda x: x["text"]), "\n")).alias("digest"))
 
@@ -96,7 +100,7 @@ def package_refusals(spark, sf_dir):
 def trace_items(spark, sf_dir):
     from foliary.sinks.pdf import trace_json
 
-    placed = layout.paginate(table(spark, sf_dir, "documents"), 1 << 40, 220, 50 * 264, 264)
+    placed = layout.paginate(_documents(spark, sf_dir), 1 << 40, 220, 50 * 264, 264)
     return trace_json(placed, ["doc_id"], ["page", "paragraph", "top"])
 
 

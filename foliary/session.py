@@ -35,3 +35,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, **conf
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, where its files give fewer tasks than there are cores; else as it is.
+
+    For work that is heavy per row. Small inputs pay a small shuffle by ``key``; large
+    ones, which have tasks enough, none.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
