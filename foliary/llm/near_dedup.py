@@ -14,7 +14,12 @@ copies grows.
    spanning forest, and each key's nearest, at ``LOWEST`` or more: as many pairs
    as keys, not all pairs of a bucket.
 3. Named pairs are verified by exact weighted Jaccard similarity of their sets.
-4. Connected components of the verified pairs are the classes; a class is known
+4. Buckets whose keys aren't all linked by then are compared whole: every two
+   keys of different components that share a band and are estimated at
+   ``LOWEST`` or more are verified, too, unless links found meanwhile join them.
+   Buckets are cut into blocks of about ``BLOCK`` keys and every two blocks meet
+   in a task. So no pair that shares a band is left out but by its estimate.
+5. Connected components of the verified pairs are the classes; a class is known
    by its smallest doc_id.
 
 A band of ``ROWS`` at the threshold 0.8 agrees with chance 0.41, one of the
@@ -41,6 +46,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 LOWEST = 0.6
 CHUNK = 64
+#: Keys of a block of a bucket that is compared whole, and bytes of sets a task holds about.
+BLOCK = 256
+SET_BYTES = 16_000_000
 #: Buckets of the hashed table of document frequencies.
 TERM_BITS = 18
 CHUNK_BYTES = 2_000_000
@@ -248,6 +256,89 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def _meetings(members: DataFrame) -> DataFrame:
+    """``members`` (band, hash, key, n, ...) with x, y, side: a row for every meeting of two blocks of a bucket that holds the key."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("key", "band"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "n")
+
+
+def _open_pairs(table, lowest: float):
+    """For every meeting in ``table``: row numbers and estimates of the pairs to verify, each in the first band that the two share."""
+    label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1]
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    band, side = table.column("band").to_numpy(), table.column("side").to_numpy()
+    columns = [table.column(c).to_numpy() for c in ("band", "hash", "x", "y")]
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    heads = np.append(np.flatnonzero(new), len(order))
+    within = columns[2] == columns[3]
+    for start, end in zip(heads[:-1], heads[1:], strict=True):
+        rows = order[start:end]
+        alone = within[rows[0]]
+        left, right = (rows, rows) if alone else (rows[side[rows] == 0], rows[side[rows] == 1])
+        for at, i in enumerate(left):
+            others = right[at + 1 :] if alone else right
+            others = others[label[others] != label[i]]
+            near = (signature[others] == signature[i]).mean(axis=1)
+            others, near = others[near >= lowest], near[near >= lowest]
+            first = ~(bands[others][:, : band[i]] == bands[i][: band[i]]).any(axis=1)
+            if first.any():
+                yield i, others[first], near[first]
+
+
+def further_links(keys: DataFrame, labels: DataFrame, sets_of, threshold: float, lowest: float = LOWEST) -> DataFrame:
+    """a, b: links between components (``labels``: node, label) that share a bucket; ``sets_of`` gives key, set of a table of keys."""
+    spark = keys.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    member = keys.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", F.coalesce("label", "key").alias("label"), F.posexplode("bands").alias("band", "hash"))
+    # two keys in a bucket have been verified already
+    buckets = member.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low <> high").select("band", "hash", "n")
+    members = shared.materialise(member.join(buckets, ["band", "hash"]).join(keys.select("key", "bands", "signature"), "key"))
+
+    def dealt(table, parts):
+        return table.withColumn("part", F.pmod(F.xxhash64("band", "hash", "x", "y"), F.lit(parts))).groupBy("part")
+
+    def involved(_, table):
+        rows = set()
+        for i, others, _ in _open_pairs(table, lowest):
+            rows.add(int(i))
+            rows.update(others.tolist())
+        return table.take(pa.array(sorted(rows), pa.int64())).select(["band", "hash", "key"])
+
+    meetings = _meetings(members)
+    parts = max(cores, -(-meetings.count() // 5_000))
+    wanted = dealt(meetings, parts).applyInArrow(involved, "band int, hash long, key binary").distinct()
+    wanted = shared.materialise(wanted.select(F.col("band"), F.col("hash"), F.col("key")))
+    sizes = wanted.groupBy("band", "hash").agg(F.count("*").alias("n"))
+    again = members.drop("n").join(wanted, ["band", "hash", "key"], "left_semi").join(sizes, ["band", "hash"])
+    sets = shared.materialise(sets_of(wanted.select("key").distinct()))
+    held = _meetings(again).join(sets, "key")
+    parts = max(cores, -(-(held.agg(F.sum(F.length("set"))).first()[0] or 0) // SET_BYTES))
+    schema = shared._arrow_schema("a binary, b binary")
+
+    def link(_, table):
+        label, key, packed = (table.column(c).to_pylist() for c in ("label", "key", "set"))
+        root, found = {}, []
+
+        def top(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for i, others, near in _open_pairs(table, lowest):
+            for j in others[np.argsort(-near, kind="stable")]:
+                a, b = top(label[i]), top(label[j])
+                if a != b and similarity(packed[i], packed[j]) >= threshold:
+                    root[a] = b
+                    found.append((key[i], key[j]))
+        return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=schema)
+
+    return dealt(held, parts).applyInArrow(link, "a binary, b binary")
+
+
 def pack_set(shingle: np.ndarray, weight: np.ndarray) -> bytes:
     """A set by the first 32 bits of its shingles' hashes (in order) and its weights."""
     return (shingle >> np.uint64(32)).astype(np.uint32).tobytes() + weight.astype(np.float32).tobytes()
@@ -272,8 +363,6 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
     signed = shared.materialise(signatures(docs, weights, words, bands, rows))
     keys = shared.materialise(signed.where(F.size("bands") > 0).groupBy("key").agg(F.min_by(F.struct("bands", "signature"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id")).select("key", "doc_id", "s.bands", "s.signature"))
     pairs = shared.materialise(candidate_pairs(keys))
-    involved = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = keys.select("key", "doc_id").join(involved, "key")
 
     def sets(batches):
         for batch in batches:
@@ -287,10 +376,18 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
                         out[key] = pack_set(shingle[bounds[i] : bounds[i + 1]], weight[bounds[i] : bounds[i + 1]])
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["key", "set"])
 
-    texts = _texts(docs).join(wanted.select("doc_id", F.col("key").alias("want")), "doc_id").mapInArrow(sets, "key binary, set binary")
-    # rows with equal doc_id and text give a set each; written, so that joins on a hot key can be split
-    links = _verify(pairs, shared.materialise(texts.dropDuplicates(["key"])), threshold)
-    labels = components(shared.materialise(links))
+    def sets_of(some):
+        wanted = keys.select("key", "doc_id").join(some, "key")
+        texts = _texts(docs).join(wanted.select("doc_id", F.col("key").alias("want")), "doc_id").mapInArrow(sets, "key binary, set binary")
+        # rows with equal doc_id and text give a set each
+        return texts.dropDuplicates(["key"])
+
+    # written, so that joins on a hot key can be split
+    links = shared.materialise(_verify(pairs, shared.materialise(sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())), threshold))
+    labels = components(links)
+    more = shared.materialise(further_links(keys, labels, sets_of, threshold))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     named = signed.select("doc_id", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("class_key"))
     named = shared.materialise(named)
     least = shared.materialise(named.groupBy("class_key").agg(F.min("doc_id").alias("class_id")))

@@ -1,6 +1,7 @@
 """Near duplicates, line templates and decontamination, against brute force or SQL."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -125,3 +126,29 @@ def test_empty_tables(no_docs, spark):
     assert decontaminate.decontaminate(no_docs, items).count() == 0
     assert line_dedup.dedup(no_docs).count() == 0
     assert near_dedup.classes(no_docs).count() == 0
+
+
+def test_near_copies_in_a_large_family(spark):
+    """Near copies among 600 documents that share about 0.76 of their text, so that buckets hold far more than a chunk."""
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}x" for i in range(26)]
+    shared_text, texts = rng.choices(words, k=200), []
+    for i in range(300):
+        tail, other = rng.choices(words, k=31), rng.choices(words, k=31)
+        texts.append(shared_text + tail)
+        texts.append(shared_text + tail[: (n := rng.randint(11, 15))] + other[n:] if i % 2 else shared_text + other)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    weights, sets = near_dedup.word_weights(docs), []
+    for _, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        terms, n_words = decontaminate.terms_of(np.array([0, len(data)]), data, np.zeros(1, bool))
+        sets.append(near_dedup.pack_set(*near_dedup.shingle_sets(terms, n_words, weights, near_dedup.WORDS)[1:]))
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_dedup.similarity(sets[i], sets[j]) >= near_dedup.THRESHOLD:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    assert 100 < len(rows) - len(set(least)) < 250
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == dict(enumerate(least))
