@@ -27,8 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates; of equal rows one."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near duplicates, that of the smallest doc_id; of equal rows one."""
+    return near_dedup.keep_of_class(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

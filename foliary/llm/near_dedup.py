@@ -57,7 +57,7 @@ _LEVELS = 4096
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
 
 
 def _chunks(batch):
@@ -154,7 +154,7 @@ class WeightedSampler:
 
 
 def signatures(docs: DataFrame, weights: np.ndarray, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key, bands, signature of every document; a document without words has no bands."""
+    """doc_id, text_key, key, bands, signature of every document; a document without words has no bands."""
     sampler = WeightedSampler(bands * rows)
 
     def run(batches):
@@ -171,9 +171,9 @@ def signatures(docs: DataFrame, weights: np.ndarray, words: int, bands: int, row
                 full[doc[starts]] = np.arange(len(starts))
                 short = sample.astype(np.uint32)
                 bands_of = [band[i].astype(np.int64).tolist() if i >= 0 else [] for i in full]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(_keys(terms, n_words), pa.binary()), pa.array(bands_of, pa.list_(pa.int64())), pa.array([short[i].tobytes() if i >= 0 else b"" for i in full], pa.binary())], names=["doc_id", "key", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), batch.column("text_key").slice(at, to - at), pa.array(_keys(terms, n_words), pa.binary()), pa.array(bands_of, pa.list_(pa.int64())), pa.array([short[i].tobytes() if i >= 0 else b"" for i in full], pa.binary())], names=["doc_id", "text_key", "key", "bands", "signature"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>, signature binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, key binary, bands array<long>, signature binary")
 
 
 def _keys(terms: np.ndarray, words: np.ndarray) -> list[bytes]:
@@ -357,8 +357,8 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(both / total) if total else 1.0
 
 
-def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, key, copies_key: every document's class (the smallest doc_id in it)."""
+def labelled(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_key, key, class_key of every document; a class is known by its least key."""
     weights = word_weights(docs)
     signed = shared.materialise(signatures(docs, weights, words, bands, rows))
     keys = shared.materialise(signed.where(F.size("bands") > 0).groupBy("key").agg(F.min_by(F.struct("bands", "signature"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id")).select("key", "doc_id", "s.bands", "s.signature"))
@@ -388,12 +388,33 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
     more = shared.materialise(further_links(keys, labels, sets_of, threshold))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    named = signed.select("doc_id", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("class_key"))
-    named = shared.materialise(named)
+    named = signed.select("doc_id", "text_key", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
+    return shared.materialise(named.select("doc_id", "text_key", "key", F.coalesce("label", "key").alias("class_key")))
+
+
+def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id, key: every document's class (the smallest doc_id in it)."""
+    named = labelled(docs, words, threshold, bands, rows)
     least = shared.materialise(named.groupBy("class_key").agg(F.min("doc_id").alias("class_id")))
     return named.join(least, "class_key").select("doc_id", "class_id", "key")
 
 
+def keep_of_class(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, for one row of each class: that of the smallest doc_id, then of the least hash of its text; of equal rows one.
+
+    Classes are told apart by their words, so unrelated texts under one doc_id, or under null, are all kept.
+    """
+    named = labelled(docs)
+    chosen = shared.materialise(named.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.text_key").alias("__key")))
+    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "__key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    kept = docs.withColumns(keys).join(chosen, ["__id", "__key"], "left_semi")
+    rows = named.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).join(chosen, ["__id", "__key"], "left_semi")
+    # rows of equal doc_id and text
+    if rows.groupBy("__id", "__key").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__id", "__key"])
+    return kept.select(*docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, for the row of the smallest doc_id of each class; of equal rows one."""
     found = shared.materialise(classes(docs).where("doc_id = class_id").select("doc_id"))

@@ -40,6 +40,17 @@ def test_near_duplicates(docs, rows):
     assert kept.columns == docs.columns and kept.count() == len({c for _, c in expected})
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(random.Random(k).choices([a + b for a in "bdfgklmnprst" for b in "aeiou"], k=60)) for k in range(6)]
+    # unrelated texts under one doc_id and under null; a copy whose doc_id heads another class; equal rows
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (2, texts[0]), (1, texts[0]), (3, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, "").collect())
+    assert kept == Counter([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (3, texts[5])])
+
+
 def test_weighted_similarity():
     pack = lambda d: near_dedup.pack_set(np.array(sorted(d), np.uint64) << np.uint64(32), np.array([d[k] for k in sorted(d)], np.float32))
     assert near_dedup.similarity(pack({1: 1, 2: 2}), pack({2: 1, 3: 1})) == 0.25
