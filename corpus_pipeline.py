@@ -7,17 +7,26 @@ next stage's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import decontaminate, line_dedup, near_dedup, pieces, quality, shared
 
 
+def _row_key() -> Column:
+    """Names a row by doc_id, null or not, and text: equal rows get one verdict."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are named in ``bad`` (row_key)."""
+    return docs.withColumn("__key", _row_key()).join(bad.select(F.col("row_key").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as label 1; a rejected doc_id goes in all its rows."""
-    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = found.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the quality classifier predicts as label 1; a row goes by its own verdict."""
+    found = quality.scores_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, found.where(F.col("score") < quality.THRESHOLD))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +41,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark; a contaminated doc_id goes in all its rows."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no passage of the benchmark; a row goes by its own verdict."""
+    named = docs.select(_row_key().alias("doc_id"), "text")
+    found = decontaminate.decontaminate(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("row_key")))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

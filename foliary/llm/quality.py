@@ -111,7 +111,7 @@ def features_of(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the features of every document's whole text."""
+    """doc_id, row_key, x: the features of every document's whole text, and a hash of doc_id and text."""
 
     def run(batches):
         for batch in batches:
@@ -121,11 +121,11 @@ def text_features(docs: DataFrame) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
                 x = features_of(offsets[at : to + 1], data)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), values], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), batch.column("row_key").slice(at, to - at), values], names=["doc_id", "row_key", "x"])
                 at = to
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<float>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, x array<float>")
 
 
 # ---------------------------------------------------------------------- model
@@ -253,20 +253,25 @@ def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Addit
 
 
 def score(features: DataFrame, model: AdditiveModel) -> DataFrame:
-    """doc_id, score of every row of features."""
+    """doc_id, row_key, score of every row of features."""
 
     def run(batches):
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)) if batch.num_rows else np.zeros((0, len(FEATURES)), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(model.score(x))], names=["doc_id", "row_key", "score"])
 
-    return features.mapInArrow(run, "doc_id long, score double")
+    return features.mapInArrow(run, "doc_id long, row_key long, score double")
+
+
+def scores_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, row_key, score of every document."""
+    features = shared.materialise(text_features(docs))
+    return score(features, train(features, labels, sample))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    features = shared.materialise(text_features(docs))
-    scores = score(features, train(features, labels, sample))
+    scores = scores_of(docs, labels, sample)
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

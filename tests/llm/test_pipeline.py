@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage, on a small table."""
 
+from pyspark.sql import functions as F
+
 
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -16,6 +18,25 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == last.count()
 
 
+def test_verdicts_fall_on_their_own_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {passage} after"), (None, "clean one"), (5, f"again {passage}"), (5, "clean two"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()} == {(None, "clean one"), (5, "clean two"), (6, None)}
+    # the same texts without an id, or all under one, get the verdicts they get under their own
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.text for r in corpus_pipeline.quality_stage(spark, docs, sf_dir).collect()}
+    extra = docs.withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.withColumn("doc_id", F.lit(-1).cast("long")))
+    both = corpus_pipeline.quality_stage(spark, docs.unionByName(extra), sf_dir)
+    texts = [r.text for r in docs.collect()]
+    assert 0 < len(kept) < len(set(texts))
+    good = sum(t in kept for t in texts)
+    assert both.where("doc_id IS NULL").count() == both.where("doc_id = -1").count() == good
+
+
 def test_queries_are_registered():
     import __spark_entry__ as contract
 
