@@ -24,6 +24,8 @@ as pages each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,6 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 DAMPING = 0.85
-STEPS = 20
 CUT_EVERY = 4
 THRESHOLD = 0.5
 TOLERANCE = 1e-6
@@ -79,10 +80,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return links.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """host, rank: personalised PageRank of ``edges`` (src, dst, weight) from ``seeds`` (host, seed).
 
     Ranks are in units of the seeds' own: without edges a seed keeps its value.
+    ``steps`` None iterates until a step changes the ranks by less than ``tolerance``.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     edges = shared.materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total") * damping).alias("share")))
@@ -90,6 +92,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     if edges.isEmpty():
         return ranks
     seed = ranks
+    if steps is None:
+        # a step's change is at most the mass still moving, twice the seeds' times damping ** step
+        mass = 2 * (seed.agg(F.sum("rank")).first()[0] or 0.0)
+        steps = max(1, math.ceil(math.log(tolerance / max(mass, tolerance)) / math.log(damping)) + 1)
     for step in range(1, steps + 1):
         flow = ranks.join(edges, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("rank"))
         new = flow.unionByName(seed).groupBy("host").agg(F.sum("rank").alias("rank"))
@@ -103,7 +109,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     return ranks
 
 
-def classify(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def classify(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD, damping: float = DAMPING, steps: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of pages (page_id, url, html)."""
     pages = pages.select("page_id", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))

@@ -156,6 +156,13 @@ def test_urls(spark):
     assert url_filter.classify(table.limit(0), rules).count() == 0
 
 
+def test_ranks_reach_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(36)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 100.0)], "host string, seed double")
+    got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds).collect()}
+    assert len(got) == 37 and np.allclose([got[f"h{i}"] for i in range(37)], 100 * 0.85 ** np.arange(37), atol=1e-6)
+
+
 def test_ranks_against_dense_iteration(spark):
     links = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 3.0)]
     edges = spark.createDataFrame(links, "src string, dst string, weight double")
