@@ -4,7 +4,9 @@ Text blocks. Operators that must bring an answer back to the text (substring
 dedup, tokenisation) deal the documents once into blocks of about
 ``BLOCK_BYTES`` by a hash of the row. A block crosses the shuffle as
 zstd-compressed UTF-8 and is the unit of work of one Python call, so a task
-holds one block at a time whatever the size of the corpus.
+holds one block at a time whatever the size of the corpus. The parts of a block
+arrive in any order, another one at every reading, so a block is put in the
+order of its rows' hashes: every kernel sees the same block each time.
 
 Questions and replies. A block asks about its keys (hashes) by sending them,
 once each, to the slice of the key space they belong to; a slice answers every
@@ -109,7 +111,7 @@ def _string_buffers(column: pa.Array):
     return offsets, data, nulls
 
 
-def _pack(ids, offsets, data, nulls, rows) -> bytes:
+def _pack(ids, offsets, data, nulls, order, rows) -> bytes:
     import zstandard
 
     lengths = (offsets[rows + 1] - offsets[rows]).astype("<i8")
@@ -117,32 +119,42 @@ def _pack(ids, offsets, data, nulls, rows) -> bytes:
     parts = [data[offsets[r] : offsets[r + 1]] for r in rows if offsets[r + 1] > offsets[r] and not nulls[r]]
     id_null = np.array([ids[r] is None for r in rows], np.uint8)
     id_value = np.array([0 if ids[r] is None else ids[r] for r in rows], "<i8")
-    head = np.array([len(rows)], "<i8").tobytes() + id_value.tobytes() + id_null.tobytes() + lengths.tobytes() + nulls[rows].astype(np.uint8).tobytes()
+    head = np.array([len(rows)], "<i8").tobytes() + order[rows].astype("<i8").tobytes() + id_value.tobytes() + id_null.tobytes() + lengths.tobytes() + nulls[rows].astype(np.uint8).tobytes()
     return zstandard.ZstdCompressor(level=5).compress(head + (np.concatenate(parts).tobytes() if parts else b""))
 
 
 def unpack_block(payloads) -> Block:
-    """The documents of a block from its packed parts."""
+    """The documents of a block from its packed parts, in the order of their rows' hashes."""
     import zstandard
 
-    ids, lengths, nulls, bodies = [], [], [], []
+    hashes, ids, lengths, nulls, bodies = [], [], [], [], []
     undo = zstandard.ZstdDecompressor()
     for payload in payloads:
         raw = undo.decompress(payload)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         at = 8
+        hashes.append(np.frombuffer(raw, "<i8", n, at))
+        at += 8 * n
         value = np.frombuffer(raw, "<i8", n, at)
         at += 8 * n
         missing = np.frombuffer(raw, np.uint8, n, at)
         at += n
-        lengths.append(np.frombuffer(raw, "<i8", n, at))
+        size = np.frombuffer(raw, "<i8", n, at)
+        lengths.append(size)
         at += 8 * n
         nulls.append(np.frombuffer(raw, np.uint8, n, at).astype(bool))
         at += n
         ids.extend(None if m else v for v, m in zip(value.tolist(), missing.tolist(), strict=True))
-        bodies.append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64) if lengths else np.zeros(1, np.int64)
-    return Block(ids, np.concatenate(bodies) if bodies else np.zeros(0, np.uint8), offsets, np.concatenate(nulls) if nulls else np.zeros(0, bool))
+        body = np.frombuffer(raw, np.uint8, len(raw) - at, at)
+        ends = np.cumsum(size).tolist()
+        bodies.extend(body[a:b] for a, b in zip([0, *ends], ends, strict=False))
+    if not ids:
+        return Block([], np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool))
+    # rows of one hash are equal
+    order = np.argsort(np.concatenate(hashes), kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths)[order])]).astype(np.int64)
+    place = order.tolist()
+    return Block([ids[i] for i in place], np.concatenate([bodies[i] for i in place]), offsets, np.concatenate(nulls)[order])
 
 
 def deal_blocks(docs: DataFrame, blocks: int) -> DataFrame:
@@ -152,15 +164,15 @@ def deal_blocks(docs: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             offsets, data, nulls = _string_buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            block = batch.column("block").to_numpy(zero_copy_only=False)
+            hashes = batch.column("hash").to_numpy(zero_copy_only=False)
+            block = hashes % blocks  # not negative, as numpy's remainder has the divisor's sign
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
             groups = np.split(order, cuts) if len(order) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[g[0]]) for g in groups], pa.int32()), pa.array([_pack(ids, offsets, data, nulls, g) for g in groups], pa.binary())], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[g[0]]) for g in groups], pa.int32()), pa.array([_pack(ids, offsets, data, nulls, hashes, g) for g in groups], pa.binary())], names=["block", "part"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    return rows.mapInArrow(pack, "block int, part binary")
+    return rows.withColumn("hash", F.xxhash64("doc_id", "text")).mapInArrow(pack, "block int, part binary")
 
 
 def ask(blocks: DataFrame, kernel, schema: str) -> DataFrame:
