@@ -187,7 +187,7 @@ class _Segments:
         heads = np.flatnonzero(new)
         self.first = start[heads]
         self.count = np.diff(np.append(heads, len(start)))
-        self.anchor = small[owner[self.first]]
+        self.anchor = shared.mix64(small[owner[self.first]])  # a least hash is a small number: spread it again
         last = self.first + self.count - 1 + length
         self.hi = self.hash.of(self.first, last)
         self.lo = (self.hash2.of(self.first, last) & np.uint64(0xFFFF)).astype(np.uint16)

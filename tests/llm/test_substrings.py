@@ -75,3 +75,28 @@ def test_words(docs, rows, options):
 def test_empty_tables(no_docs):
     assert suffix_dedup.dedup(no_docs).count() == 0
     assert substring_dedup.dedup(no_docs).count() == 0
+
+
+def test_a_block_does_not_depend_on_the_order_of_its_parts(spark, docs):
+    from foliary.llm import shared
+
+    dealt = shared.deal_blocks(docs.repartition(5), 2).collect()
+    for block in {r.block for r in dealt}:
+        parts = [bytes(r.part) for r in dealt if r.block == block]
+        assert len(parts) > 1
+        one, other = shared.unpack_block(parts), shared.unpack_block(parts[::-1])
+        assert one.ids == other.ids
+        for name in ("data", "offsets", "nulls"):
+            assert getattr(one, name).tolist() == getattr(other, name).tolist()
+
+
+def test_anchors_spread_over_slices():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, 200_000).astype(np.uint8)
+
+    class Text:
+        ids, offsets = [1], np.array([0, len(data)])
+
+    Text.data = data
+    slices = np.bincount((suffix_dedup._Segments(Text, 400, 64).anchor >> np.uint64(61)).astype(int), minlength=8)
+    assert slices.max() < 2 * slices.mean()
