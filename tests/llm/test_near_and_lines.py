@@ -82,6 +82,49 @@ def test_lines_match_their_sql(docs, rows):
     assert sum(n for _, _, n, _ in got.elements()) >= 11  # the line that only its year sets apart
 
 
+def by_sql(rows):
+    connection = duckdb.connect()
+    connection.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return Counter(connection.sql(line_dedup.ORACLE).fetchall())
+
+
+def answers(frame):
+    return Counter((r.doc_id, r.n_lines, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in frame.collect())
+
+
+def test_a_leaf_forms_any_number_of_templates(spark):
+    """Seven templates of one leaf whose fields are words, one of them long with scattered fields, beside one very common line."""
+    rng = random.Random(11)
+    words = [f"w{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    pick = lambda n: rng.sample(words, n)
+    lines = []
+    for _ in range(6):
+        frame = pick(17)
+        lines += [" ".join(["the", "same", "lead", *(w if k % 5 else rng.choice(words) for k, w in enumerate(frame))]) for _ in range(12)]
+    lines += [" ".join(["the", "same", "lead", *pick(17)])] * 30
+    long = pick(80)
+    lines += [" ".join(["other", "lead", "here", *(w if k % 9 else rng.choice(words) for k, w in enumerate(long))]) for _ in range(12)]
+    lines += [" ".join(["the", "same", "lead", *pick(17)]) for _ in range(40)]  # prose
+    rng.shuffle(lines)
+    rows = [(i, f"{' '.join(pick(9))}\n{line}") for i, line in enumerate(lines)]
+    got = answers(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert got == by_sql(rows)
+    assert sum(n for _, _, n, _ in got.elements()) == 6 * 11 + 29 + 11
+
+
+def test_lines_of_odd_tables(spark):
+    # column names that the operator uses inside, ids and texts that are null, a very long text, equal rows
+    line = "all rights reserved by somebody"
+    long = "\n".join(f"word{i} and nothing else of note {i}" for i in range(30_000))
+    rows = [(i, f"{line}\ntext {'xyz'[i % 3]}") for i in range(12)] + [(None, line), (None, None), (3, None), (4, ""), (5, long), (5, long)]
+    docs = spark.createDataFrame([(i, t, -7, "k", 1, 2) for i, t in rows], "doc_id long, text string, __id int, `key` string, n_lines int, `id` int")
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", "text", "__id", "key", "id", "n_lines", "n_removed"]
+    assert got.where("__id <> -7 OR key <> 'k' OR id <> 2").count() == 0
+    assert answers(got) == by_sql(rows)
+
+
 def test_lines_use_no_python(docs):
     plan = line_dedup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
