@@ -8,8 +8,9 @@ a window that covers it also starts in a document with a smaller doc_id.
    counters it touched, to the slice of the sketch they lie in; a slice merges
    the blocks' sketches by addition and answers which counters reached two.
    A sketch never underestimates, so a window that occurs twice always passes.
-2. Only windows whose every counter reached two are sent, as 80-bit
-   fingerprints with the block's smallest doc_id, to be grouped exactly.
+2. Only windows whose every counter reached two are sent, as 128-bit
+   fingerprints with the block's smallest doc_id, to be grouped by them: of 10^13
+   different windows, two share one with a chance of about 10^-13.
 3. The block applies the exact answers to its text.
 
 The sketch grows with the corpus and is spread over slices of fixed size:
@@ -71,7 +72,7 @@ class _Windows:
         for which in (0, 1):
             spelled = shared.RollingHash(buffer, which).of(start, end)
             hashes.append(shared.RollingHash(spelled, which).windows(window)[self.at])
-        self.hi, self.lo = hashes[0], (hashes[1] & np.uint64(0xFFFF)).astype(np.uint16)
+        self.hi, self.lo = hashes
 
 
 def _pack_counters(low: np.ndarray, more: np.ndarray) -> bytes:
@@ -151,8 +152,8 @@ def _read_exact(data: bytes, n: int):
     k = int(np.frombuffer(data, np.int64, 1)[0])
     docs = np.frombuffer(data, np.int64, k, 8)
     at = 8 + 8 * k
-    hi, lo = np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint16, n, at + 8 * n)
-    return hi, lo, docs[np.frombuffer(data, np.uint16 if k < 1 << 16 else np.uint32, n, at + 10 * n)]
+    hi, lo = np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint64, n, at + 8 * n)
+    return hi, lo, docs[np.frombuffer(data, np.uint16 if k < 1 << 16 else np.uint32, n, at + 16 * n)]
 
 
 _ASK = "g int, block int, n int, data binary"

@@ -23,9 +23,12 @@ strings have equal anchors and lie in segments of the same anchor.
 
 An anchor with more than ``HOT`` different segments (a passage that a third of
 all documents hold) would make an unbounded bucket. The strings of its
-segments are asked about one by one as 80-bit fingerprints instead, which are
+segments are asked about one by one as 128-bit fingerprints instead, which are
 merged in each block and spread over slices by their own hash.
 
+Fingerprints are pairs of 64-bit hashes: of 10^14 different strings (100 TB), two
+share one with a chance of about 10^-11.
+
 Edge cases: a null or short text is kept whole; repeated rows repeat each
 other's strings; an empty table gives an empty result; other columns are
 ignored.
@@ -170,7 +173,7 @@ class _Segments:
         self.hash = shared.RollingHash(data)
         self.hash2 = shared.RollingHash(data, 1)
         empty = np.zeros(0, np.int64)
-        self.first, self.count, self.anchor, self.hi, self.lo = empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        self.first, self.count, self.anchor, self.hi, self.lo = empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if len(data) < length:
             return
         small = self.hash.windows(anchor)
@@ -190,7 +193,7 @@ class _Segments:
         self.anchor = shared.mix64(small[owner[self.first]])  # a least hash is a small number: spread it again
         last = self.first + self.count - 1 + length
         self.hi = self.hash.of(self.first, last)
-        self.lo = (self.hash2.of(self.first, last) & np.uint64(0xFFFF)).astype(np.uint16)
+        self.lo = self.hash2.of(self.first, last)
 
     def strings(self, rows: np.ndarray) -> np.ndarray:
         """Starts of the strings of some segments, in turn."""
@@ -245,7 +248,7 @@ class _Anchors:
 
     def __init__(self, segments, whole: _Keys):
         owner = segments.anchor[whole.item]
-        self.keys = _Keys(owner, np.zeros(len(owner), np.uint16))
+        self.keys = _Keys(owner, np.zeros(len(owner), np.uint64))
         self.least = np.full(len(self.keys.hi), np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(self.least, self.keys.which, whole.hi)
         self.of = self.keys.which[whole.which]  # the anchor of each segment
@@ -255,11 +258,10 @@ def count_keys(kind: int, table, hot: int = HOT) -> dict[int, list[bytes]]:
     """A slice's answers to every row, by kind of reply."""
     sizes = table.column("n").to_pylist()
     blobs = table.column("data").to_pylist()
-    kind_of = np.uint64 if kind == _MIXED else np.uint16
     hi = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(blobs, sizes, strict=True)])
     count = np.concatenate([np.frombuffer(d, np.uint8, n, 8 * n) for d, n in zip(blobs, sizes, strict=True)])
-    second = np.concatenate([np.frombuffer(d, kind_of, n, 9 * n) for d, n in zip(blobs, sizes, strict=True)])
-    keys = _Keys(hi, np.zeros(len(hi), np.uint16) if kind == _MIXED else second, count)
+    second = np.concatenate([np.frombuffer(d, np.uint64, n, 9 * n) for d, n in zip(blobs, sizes, strict=True)])
+    keys = _Keys(hi, np.zeros(len(hi), np.uint64) if kind == _MIXED else second, count)
     total = keys.count[keys.which]
     if kind == _MIXED:
         least = np.full(len(keys.hi), np.iinfo(np.uint64).max, np.uint64)
@@ -326,7 +328,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
         one_by_one = np.flatnonzero(mixed & sent & crowded)
         starts = segments.strings(one_by_one)
         weight = np.repeat(np.where(settled[one_by_one], 2, 1), segments.count[one_by_one])
-        keys = _Keys(segments.hash.of(starts, starts + length), (segments.hash2.of(starts, starts + length) & np.uint64(0xFFFF)).astype(np.uint16), weight)
+        keys = _Keys(segments.hash.of(starts, starts + length), segments.hash2.of(starts, starts + length), weight)
         return np.flatnonzero(settled), to_index[order], bucket[order], starts, keys
 
     def opened(block_id, block, replies):
