@@ -12,10 +12,12 @@ rules decided. Both are divided by the host's pages, so that a host whose pages
 are all blocked has distrust 1. A host is blocked if its distrust is at least
 ``threshold`` and above its trust.
 
-Pages meet their host's rules and scores by (host, salt), so a host with a third
-of all pages is dealt over ``SALTS`` tasks. Every step of the propagation is a join or an aggregation by host; the ranks are written to the
-shared folder every ``CUT_EVERY`` steps, and iteration stops when they change by
-less than ``tolerance`` in all. Nothing is collected but that sum.
+Pages meet their host's rules, and then its scores, in joins that end in a written
+table, so Spark deals a host with a third of all pages over as many tasks as its
+pages ask for. Every step of the propagation is a join or an aggregation by host;
+the ranks are written to the shared folder every ``CUT_EVERY`` steps, and
+iteration stops when they change by less than ``tolerance`` in all. Nothing is
+collected but that sum.
 
 Edge cases: a url that is null or has no ``://`` has an empty host and path; an
 empty host takes part in no links; a null html has no links; repeated rows count
@@ -42,8 +44,6 @@ DAMPING = 0.85
 CUT_EVERY = 4
 THRESHOLD = 0.5
 TOLERANCE = 1e-6
-#: Parts that the pages of one host are dealt into; tables by host are repeated for each.
-SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -112,24 +112,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
 def classify(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD, damping: float = DAMPING, steps: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of pages (page_id, url, html)."""
     pages = pages.select("page_id", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
-    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    salted = lambda table: table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_host = salted(rules_by_host(pages.select("host").distinct(), rules))
+    by_host = rules_by_host(pages.select("host").distinct(), rules)
 
     def first_fit(rules_column, path):
         fits = F.filter(rules_column, lambda r: path.startswith(r["rule_path"]))
         return F.when(F.size(fits) > 0, F.element_at(fits, 1))
 
-    ruled = pages.select("page_id", "host", "path", "salt").join(by_host, ["host", "salt"], "left").withColumn("hit", first_fit(F.col("rules"), F.col("path"))).select("page_id", "host", "path", "salt", F.concat("hit.rule_host", "hit.rule_path").alias("rule"), F.col("hit.rule_verdict").alias("by_rule"))
+    ruled = pages.select("page_id", "host", "path").join(by_host, "host", "left").withColumn("hit", first_fit(F.col("rules"), F.col("path")))
+    ruled = shared.materialise(ruled.select("page_id", "host", "path", F.concat("hit.rule_host", "hit.rule_path").alias("rule"), F.col("hit.rule_verdict").alias("by_rule")))
     # pages, and pages that rules decided, of each host
     hosts = shared.materialise(ruled.where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked")))
     edges = shared.materialise(link_edges(pages))
     backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     trust = propagate(edges, hosts.where("allowed > 0").select("host", F.col("allowed").alias("seed")), damping, steps).withColumnRenamed("rank", "trust")
     distrust = propagate(backward, hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), damping, steps).withColumnRenamed("rank", "distrust")
-    scores = salted(hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", *((F.coalesce(c, F.lit(0.0)) / F.col("pages")).alias(c) for c in ("trust", "distrust"))))
+    scores = hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", *((F.coalesce(c, F.lit(0.0)) / F.col("pages")).alias(c) for c in ("trust", "distrust")))
     method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.join(scores, ["host", "salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
