@@ -7,8 +7,12 @@ the projected space into regions; every vector is indexed in its region (and in
 one of its parts, if regions would hold over ``REGION_ROWS`` rows), where the
 same cuts go on down to leaves.
 
-A query first searches its own region, then every region whose box its bound
-still reaches. In a region it verifies leaf after leaf, nearest box first, and
+A query first searches its own region, then, nearest first and in ``ROUNDS``, the
+regions whose box its bound still reaches; the bound tightens from round to
+round. A region's queries of a round are dealt into parts of about
+``QUERY_ROWS``, each with its own copy of the region, so a task holds a bounded
+number of points and of queries whatever the size of the table. In a region a
+query verifies leaf after leaf, nearest box first, and
 stops when a point of the rest could be among its best so far with a chance of
 less than ``1 - CONFIDENCE``: the squared distance to the next box, divided by
 the squared distance of its worst kept neighbour, is beyond that chi-square
@@ -19,8 +23,9 @@ third of the rows share costs one row. Queries meet regions, never each other.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components,
 and rows without an id, take no part; vectors are only compared with those of
-their own length; a query with fewer candidates returns them all; an empty
-table gives an empty result.
+their own length; a query with fewer candidates returns them all; rows that share an
+id are candidates each, and as queries give one answer; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ DIMENSIONS = 8
 CONFIDENCE = 0.98
 REGION_ROWS = 8_192
 LEAF_ROWS = 256
+#: Queries that meet a region in one task, about.
+QUERY_ROWS = 4_096
+#: Regions searched by the end of each round, nearest first; the last round takes all that are left.
+ROUNDS = (1, 9, None)
 #: Bound of the sample that the regions are cut by, and of their number.
 SAMPLE = 20_000
 MAX_REGIONS = 4_096
@@ -187,7 +196,7 @@ class _Region:
         return rows, best
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, region_rows: int = REGION_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, region_rows: int = REGION_ROWS, leaf_rows: int = LEAF_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row among all other rows of ``table``."""
     spark = table.sparkSession
     limit = chi_square_quantile(confidence, dimensions)
@@ -215,28 +224,26 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, dimensions: int = D
             part = np.array([zlib.crc32(v) % parts[int(w)] if parts[int(w)] > 1 else 0 for v, w in zip(vec, width, strict=True)], np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("width"), pa.array(region), pa.array(part), batch.column("vec"), batch.column("ids")], names=["width", "region", "part", "vec", "ids"])
 
-    indexed = points.mapInArrow(place, _POINT)
+    indexed = shared.materialise(points.mapInArrow(place, _POINT))
 
-    def visit(first: bool):
-        """Which regions a query goes to: its own, or the others that its bound reaches."""
+    def visit(begin: int, end: int | None):
+        """Which of a query's regions from the ``begin``-th to the ``end``-th, nearest first, its bound reaches."""
 
         def run(batches):
             for batch in batches:
-                out = {"width": [], "region": [], "part": [], "query_id": [], "vec": [], "bound": []}
-                rows = batch.to_pylist()
-                for row in rows:
+                out = {name: [] for name in visit_schema.names}
+                for row in batch.to_pylist():
+                    if len(out["width"]) >= query_rows:
+                        yield pa.RecordBatch.from_pydict(out, schema=visit_schema)
+                        out = {name: [] for name in visit_schema.names}
                     w = row["width"]
                     if w not in cells:
                         continue
                     p = unit(np.frombuffer(row["vec"], np.float64).reshape(1, -1)) @ projection(w, dimensions)
-                    home = int(cells[w].of(p)[0])
-                    if first:
-                        regions, bound = [home], -1.0
-                    else:
-                        bound = row["bound"]
-                        near = cells[w].distances(p)[0] <= max(2 - 2 * bound, 0) * limit
-                        near[home] = False
-                        regions = np.flatnonzero(near).tolist()
+                    gap, bound = cells[w].distances(p)[0], row["bound"]
+                    gap[cells[w].of(p)[0]] = -1.0  # its own region
+                    regions = np.argsort(gap, kind="stable")[begin:end]
+                    regions = regions[gap[regions] <= max(2 - 2 * bound, 0) * limit].tolist()
                     for r in regions:
                         for part in range(parts[w]):
                             for name, value in zip(out, (w, r, part, row["query_id"], row["vec"], bound), strict=True):
@@ -281,17 +288,32 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, dimensions: int = D
         return frames.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     asked = shared.materialise(_vectors(queries).withColumnRenamed("vec_id", "query_id"))
+    found, begin = None, 0
+    for end in ROUNDS:
+        if begin and begin >= max((len(c.low) for c in cells.values()), default=0):
+            break
+        wanted = asked.withColumn("bound", F.lit(-1.0))
+        if found is not None:
+            # a query that has k neighbours must beat the last of them
+            bounds = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            wanted = asked.join(bounds, "query_id", "left").select("width", "query_id", "vec", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-1.0)).alias("bound"))
+        visited = shared.materialise(wanted.mapInArrow(visit(begin, end), visits))
+        by = ["width", "region", "part", "cut"]
+        left, right = _meetings(indexed, visited, query_rows)
+        more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(inside, _FOUND)
+        # a vector id that several rows share stands once for each row in each round
+        found = shared.materialise(best(more if found is None else found.unionByName(more)).drop("rank"))
+        begin = end
+    return best(found).select("query_id", "rank", "vec_id", "score")
+
+
+def _meetings(indexed: DataFrame, visited: DataFrame, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Points and queries of each region that is visited, with the part (``cut``) of its queries that they meet in."""
     by = ["width", "region", "part"]
-
-    def step(rows: DataFrame, first: bool) -> DataFrame:
-        return indexed.groupBy(*by).cogroup(rows.mapInArrow(visit(first), visits).groupBy(*by)).applyInArrow(inside, _FOUND)
-
-    home = shared.materialise(best(step(asked, True)).drop("rank"))
-    bounds = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    wanted = asked.join(bounds, "query_id", "left").select("width", "query_id", "vec", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-1.0)).alias("bound"))
-    far = step(wanted, False)
-    # a vector id that several rows share stands once for each row in each step
-    return best(home.unionByName(far)).select("query_id", "rank", "vec_id", "score")
+    cuts = visited.groupBy(*by).agg(F.ceil(F.count("*") / query_rows).cast("int").alias("cuts"))
+    left = indexed.join(cuts, by).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    right = visited.join(cuts, by).withColumn("cut", F.pmod(F.xxhash64("query_id", "vec"), F.col("cuts")).cast("int")).drop("cuts")
+    return left, right
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
