@@ -454,16 +454,9 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = shared.BLOCK_B
         n = size[words.which]
         ids = flat[np.repeat(begin[words.which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(words.counts)])]
-        out = []
-        for i in range(len(block)):
-            if block.nulls[i]:
-                out.append(None)
-                continue
-            own = ids[ends[i] : ends[i + 1]]
-            for at in np.flatnonzero(own < 0)[::-1].tolist():
-                coded_char = [byte_ids[b] for b in chr(-1 - own[at]).encode()] if byte_ids else [unknown]
-                own = np.concatenate([own[:at], coded_char, own[at + 1 :]])
-            out.append(own.astype(np.int32))
+        ids, grown = spelled_out(ids, byte_ids, unknown)
+        ends = grown[ends]
+        out = [None if block.nulls[i] else ids[ends[i] : ends[i + 1]] for i in range(len(block))]
         texts = [None if block.nulls[i] else block.raw(i).decode() for i in range(len(block))]
         rows = {"doc_id": block.ids, "text": texts, "ids": pa.array(out, pa.list_(pa.int32()))}
         return rows | {"decoded": decoder.texts(rows["ids"])} if decoded else rows
@@ -472,6 +465,22 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = shared.BLOCK_B
     return shared.answer(blocks, replies, assemble, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
+def spelled_out(ids: np.ndarray, byte_ids: list[int] | None, unknown: int):
+    """``ids`` with each character that no piece has (-1 - code point) as its bytes' pieces or ``unknown``, and the new place of each old one."""
+    rare = np.flatnonzero(ids < 0)
+    chars, which = np.unique(ids[rare], return_inverse=True)
+    codes = [[byte_ids[b] for b in chr(-1 - c).encode()] if byte_ids else [unknown] for c in chars.tolist()]
+    size = np.ones(len(ids), np.int64)
+    size[rare] = np.array([len(c) for c in codes], np.int64)[which]
+    grown = np.concatenate([[0], np.cumsum(size)])
+    out = np.repeat(ids, size).astype(np.int32)
+    at = grown[rare]
+    for k in range(max(map(len, codes), default=0)):
+        code = np.array([c[k] if k < len(c) else -1 for c in codes])[which]
+        out[at[code >= 0] + k] = code[code >= 0]
+    return out, grown
+
+
 class Decoder:
     """Texts of lists of ids."""
 
