@@ -22,9 +22,19 @@ def training_rows(labels: DataFrame, target: str) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
 
 
-def bounded(rows: DataFrame, bound: int, count: int | None = None, key: str = "doc_id") -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of ``key``."""
+def bounded(rows: DataFrame, bound: int, count: int | None = None, *key: str) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of ``key`` (of doc_id)."""
     n = rows.count() if count is None else count
     if n <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+    return rows.where(F.pmod(F.xxhash64(*(key or ("doc_id",)), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+
+
+def bounded_rows(rows: DataFrame, bound: int, *key: str) -> DataFrame:
+    """One row of each ``key``, and of those about a quarter more than ``bound`` at most.
+
+    For rows that met a bounded sample of doc_ids, of which one may have any number of them.
+    """
+    single = rows.dropDuplicates(list(key))
+    n = single.count()
+    return single if n <= bound * 1.25 else bounded(single, bound, n, *key)

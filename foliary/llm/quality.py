@@ -10,9 +10,10 @@ way. A score is the sigmoid of the sum of the looked-up bins.
 The model is fitted on the driver from at most about ``SAMPLE`` labelled rows;
 features and scores are computed for all documents where they lie.
 
-Edge cases: a null text counts as empty and is scored like any other; repeated
-labels of one doc_id count each; labels other than 0 and 1 are ignored; without
-labels of both kinds every score is the share of label 1 (0.5 if none).
+Edge cases: a null text counts as empty and is scored like any other; rows that
+are equal in doc_id, text and label count once in the fit, different ones under
+one doc_id each; labels other than 0 and 1 are ignored; without labels of both
+kinds every score is the share of label 1 (0.5 if none).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import shared
-from foliary.llm.labels import bounded, held_out, training_rows
+from foliary.llm.labels import bounded, bounded_rows, held_out, training_rows
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE = 40_000
@@ -243,8 +244,8 @@ class AdditiveModel:
 
 def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
     """Fit the model on a bounded sample of the labelled rows that aren't held out."""
-    rows = bounded(training_rows(labels, "quality"), sample)
-    known = features.join(rows, "doc_id").select("doc_id", "x", "y").toPandas()
+    rows = bounded(training_rows(labels, "quality").distinct(), sample)
+    known = bounded_rows(features.join(rows, "doc_id").select("doc_id", "row_key", "x", "y"), sample, "row_key", "y").toPandas()
     if not len(known):
         return AdditiveModel(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(known["x"].to_numpy()).astype(np.float32), known["y"].to_numpy(np.float64)

@@ -17,8 +17,8 @@ it reaches: present, twice, four times, one in ``DENSE`` words.
 3. Every whole text is scored by the mean of the classifiers.
 
 Edge cases: null and empty texts have no features and score by the bias alone;
-repeated labels count each; labels other than 0 and 1 are ignored; without
-positives every score is 0.
+rows that are equal in doc_id and text count once in the fit; labels other than 0
+and 1 are ignored; without positives every score is 0.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import shared
-from foliary.llm.labels import bounded, held_out, training_rows
+from foliary.llm.labels import bounded, bounded_rows, held_out, training_rows
 
 #: Bounds of the positives and of the unlabelled rows that the classifiers are fitted on.
 POSITIVES = 6_000
@@ -157,16 +157,7 @@ class PuClassifier:
             for pi, ui in zip(p_parts, u_parts, strict=True):
                 if not len(pi) or not len(ui):
                     continue
-                zp, rows_p, cols_p = PuClassifier._margin(w, positive, pi)
-                zu, rows_u, cols_u = PuClassifier._margin(w, unlabelled, ui)
-                negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-                if negative >= 0:
-                    gp, gu = (prior * (sp - 1) - prior * sp) / len(pi), su / len(ui)
-                else:  # step back from the negative risk
-                    gp, gu = prior * sp / len(pi), -su / len(ui)
-                grad = np.bincount(cols_p, gp[rows_p], width + 1) + np.bincount(cols_u, gu[rows_u], width + 1)
-                grad[-1] = gp.sum() + gu.sum()
+                _, grad = PuClassifier.risk(w, [positive[i] for i in pi], [unlabelled[i] for i in ui], prior)
                 grad[:-1] += 1e-5 * w[:-1]
                 step += 1
                 m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
@@ -174,11 +165,28 @@ class PuClassifier:
         return w
 
     @staticmethod
-    def _margin(w, sets, index):
-        size = np.array([len(sets[i]) for i in index])
-        cols = np.concatenate([sets[i] for i in index]).astype(np.int64) if size.sum() else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(len(index)), size)
-        return np.bincount(rows, w[cols], len(index)) + w[-1], rows, cols
+    def risk(w, positive, unlabelled, prior):
+        """The non-negative risk of some sets, and the direction to descend: its gradient, or, where its second term is negative, that term's reversed."""
+        zp, rows_p, cols_p = PuClassifier._margin(w, positive)
+        zu, rows_u, cols_u = PuClassifier._margin(w, unlabelled)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        if negative >= 0:
+            gp, gu = (prior * (sp - 1) - prior * sp) / len(zp), su / len(zu)
+        else:  # step back from the negative risk
+            gp, gu = prior * sp / len(zp), -su / len(zu)
+        grad = np.zeros(len(w))  # sums of no rows at all come as integers
+        grad += np.bincount(cols_p, gp[rows_p], len(w))
+        grad += np.bincount(cols_u, gu[rows_u], len(w))
+        grad[-1] = gp.sum() + gu.sum()
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative), grad
+
+    @staticmethod
+    def _margin(w, sets):
+        size = np.array([len(x) for x in sets])
+        cols = np.concatenate(sets).astype(np.int64) if size.sum() else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(len(sets)), size)
+        return np.bincount(rows, w[cols], len(sets)) + w[-1], rows, cols
 
     def score(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """Scores of ``n`` documents from their distinct (document, feature) pairs."""
@@ -195,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     toxic = known.where("y = 1").select("doc_id").distinct()
     sample = bounded(toxic, positives)
     # at most about `positives` ids: their size is bounded
-    confirmed = _texts(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    confirmed = bounded_rows(_texts(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")), positives, "doc_id", "text")
     n_positive = confirmed.count()
     if not n_positive:
         return None
@@ -212,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     chosen[best] = np.arange(len(best))
     rest = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     p = _sets(confirmed, chosen)
-    u = _sets(_texts(bounded(rest, unlabelled, n_docs)), chosen) or [np.zeros(0, np.int64)]
+    u = _sets(bounded_rows(_texts(bounded(rest, unlabelled, n_docs)), unlabelled, "doc_id", "text"), chosen) or [np.zeros(0, np.int64)]
     return chosen, PuClassifier(p, u, len(best), prior)
 
 
