@@ -340,16 +340,15 @@ def further_links(keys: DataFrame, labels: DataFrame, sets_of, threshold: float,
 
 
 def pack_set(shingle: np.ndarray, weight: np.ndarray) -> bytes:
-    """A set by the first 32 bits of its shingles' hashes (in order) and its weights."""
-    return (shingle >> np.uint64(32)).astype(np.uint32).tobytes() + weight.astype(np.float32).tobytes()
+    """A set by its shingles' 64-bit hashes (in order) and its weights."""
+    return shingle.astype(np.uint64).tobytes() + weight.astype(np.float32).tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed sets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    n, m = len(x) // 2, len(y) // 2
-    wx, wy = x[n:].view(np.float32).astype(np.float64), y[m:].view(np.float32).astype(np.float64)
-    x, y = x[:n], y[:m]
+    n, m = len(a) // 12, len(b) // 12
+    x, y = np.frombuffer(a, np.uint64, n), np.frombuffer(b, np.uint64, m)
+    wx, wy = np.frombuffer(a, np.float32, n, 8 * n).astype(np.float64), np.frombuffer(b, np.float32, m, 8 * m).astype(np.float64)
     place = np.minimum(np.searchsorted(y, x), m - 1) if m else np.zeros(n, np.int64)
     same = y[place] == x if m else np.zeros(n, bool)
     both = np.minimum(wx[same], wy[place[same]]).sum()
@@ -405,25 +404,15 @@ def keep_of_class(docs: DataFrame) -> DataFrame:
     Classes are told apart by their words, so unrelated texts under one doc_id, or under null, are all kept.
     """
     named = labelled(docs)
-    chosen = shared.materialise(named.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.text_key").alias("__key")))
-    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "__key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
-    kept = docs.withColumns(keys).join(chosen, ["__id", "__key"], "left_semi")
-    rows = named.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).join(chosen, ["__id", "__key"], "left_semi")
+    by = shared.free_names(docs, "id", "text_key")
+    chosen = shared.materialise(named.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select(F.col("s.doc_id").alias(by[0]), F.col("s.text_key").alias(by[1])))
+    keys = dict(zip(by, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), strict=True))
+    kept = docs.withColumns(keys).join(chosen, by, "left_semi")
+    rows = named.select(F.col("doc_id").alias(by[0]), F.col("text_key").alias(by[1])).join(chosen, by, "left_semi")
     # rows of equal doc_id and text
-    if rows.groupBy("__id", "__key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__id", "__key"])
-    return kept.select(*docs.columns)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, for the row of the smallest doc_id of each class; of equal rows one."""
-    found = shared.materialise(classes(docs).where("doc_id = class_id").select("doc_id"))
-    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))}
-    kept = docs.withColumns(keys).join(found.select(F.col("doc_id").alias("__id")).distinct(), "__id", "left_semi")
-    # rows that share the doc_id of their class: copies of each other, as a class has one smallest doc_id
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__id"])
-    return kept.select(*docs.columns)
+    if rows.groupBy(*by).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(by)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
