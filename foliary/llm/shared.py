@@ -39,9 +39,11 @@ _SEED = 20_240_229
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(shared_dir, "own", None)
         if root is None:
             path = tempfile.mkdtemp(prefix="foliary-")

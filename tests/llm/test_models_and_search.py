@@ -54,6 +54,80 @@ def test_classifiers_without_labels(labelled, model):
     assert model.classify(docs.limit(0), labels).count() == 0
 
 
+def test_additive_model_sums_its_tables():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 5)).astype(np.float32)
+    y = (x[:, 1] * x[:, 2] > 0).astype(float)
+    model = quality.AdditiveModel(x, y, rounds=20, pairs=3, pair_rounds=60)
+
+    def by_hand(row):
+        bins = [sum(float(v) >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        margin = model.base + sum(table[b] for table, b in zip(model.tables, bins, strict=True))
+        margin += sum(table[bins[i]][bins[j]] for table, (i, j) in zip(model.pair_tables, model.pairs, strict=True))
+        return 1 / (1 + np.exp(-margin))
+
+    assert np.allclose(model.score(x), [by_hand(r) for r in x])
+    assert np.mean((model.score(x) > 0.5) == y) > 0.9
+    assert (1, 2) in model.pairs
+
+
+def test_trees_take_the_best_cut():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        g, h = rng.standard_normal(9), rng.random(9)
+        gains = [g[:c].sum() ** 2 / (h[:c].sum() + 1) + g[c:].sum() ** 2 / (h[c:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1) for c in range(1, 9)]
+        gain, cut = quality._best_cut(g, h)
+        assert np.isclose(gain, max(gains)) and cut == 1 + int(np.argmax(gains))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_risk_of_ten_rows(seed):
+    rng = np.random.default_rng(seed)
+    sets = [rng.choice(6, rng.integers(0, 5), replace=False) for _ in range(10)]
+    positive, unlabelled, prior, w = sets[:4], sets[4:], 0.3, 2 * rng.standard_normal(7)
+
+    def parts(w):
+        loss = lambda s, sign: np.log1p(np.exp(-sign * (sum(w[f] for f in s) + w[-1])))
+        plus = prior * np.mean([loss(s, 1) for s in positive])
+        return plus, np.mean([loss(s, -1) for s in unlabelled]) - prior * np.mean([loss(s, -1) for s in positive])
+
+    plus, rest = parts(w)
+    risk, grad = toxicity.PuClassifier.risk(w, positive, unlabelled, prior)
+    assert np.isclose(risk, plus + max(0, rest))
+    descend = (lambda w: sum(parts(w))) if rest >= 0 else (lambda w: -parts(w)[1])
+    slope = [(descend(w + d) - descend(w - d)) / 2e-6 for d in np.eye(7) * 1e-6]
+    assert np.allclose(grad, slope, atol=1e-6)
+
+
+def test_scores_are_means_of_sigmoids():
+    model = toxicity.PuClassifier([np.array([0, 1])] * 5, [np.array([1]), np.array([2])] * 8, 3, 0.2, models=2, epochs=3)
+    sets = [[0, 1], [], [2]]
+    expected = [np.mean([1 / (1 + np.exp(-(sum(w[f] for f in s) + w[-1]))) for w in model.weights]) for s in sets]
+    assert np.allclose(model.score(np.array([0, 0, 2]), np.array([0, 1, 2]), 3), expected)
+
+
+def test_samples_stay_bounded_under_one_doc_id(spark):
+    from foliary.llm.labels import bounded_rows
+
+    rows = spark.range(4000).selectExpr("1L AS doc_id", "CASE WHEN id < 2000 THEN 'same' ELSE string(id) END AS text")
+    assert bounded_rows(rows, 5000, "doc_id", "text").count() == 2001
+    assert 0 < bounded_rows(rows, 100, "doc_id", "text").count() < 200
+
+
+@pytest.mark.parametrize(("model", "column"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_odd_tables(labelled, spark, model, column):
+    # repeated doc_ids, equal rows, a very long text, column names that labels have, repeated and contradictory labels
+    docs, labels = labelled
+    long = "word " * 200_000
+    more = spark.createDataFrame([(1, "other text"), (1, "other text"), (2, long), (None, None), (None, "")], "doc_id long, text string")
+    both = docs.unionByName(more).withColumns({"quality": F.lit(1), "toxic": F.lit(1), "y": F.lit(5), "x": F.lit(2), "row_key": F.lit("k")})
+    found = model.classify(both, labels.unionByName(labels).unionByName(labels.withColumn(column, F.lit(1))))
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = found.collect()
+    assert len(got) == 708 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id is None}) <= 2  # null and empty texts score alike
+
+
 def test_held_out_labels_are_not_used(labelled):
     docs, labels = labelled
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -83,6 +157,18 @@ def test_pieces_match_the_library(spark, docs, rows, model):
             assert r.decoded == r.text.replace("▁", " ")
 
 
+def test_characters_without_a_piece(spark, model):
+    ids = np.array([5, -1 - ord("é"), 7, -1 - ord("日"), -1 - ord("é")])
+    for byte_ids, code in ((list(range(1000, 1256)), lambda c: [1000 + b for b in c.encode()]), (None, lambda c: [3])):
+        out, grown = pieces.spelled_out(ids, byte_ids, 3)
+        expected = [[5], code("é"), [7], code("日"), code("é")]
+        assert out.tolist() == [x for part in expected for x in part]
+        assert grown.tolist() == [0, *np.cumsum([len(p) for p in expected]).tolist()]
+    rare = "".join(chr(0x4E00 + i % 9000) for i in range(60_000))
+    got = pieces.decode(pieces.encode(spark.createDataFrame([(1, rare)], "doc_id long, text string"), model), model).first()
+    assert got.decoded == rare
+
+
 def test_unigram_models_take_the_best_path(spark):
     scored = [("▁", -2.0, 1), ("a", -2.0, 2), ("b", -2.0, 3), ("ab", -2.5, 4), ("▁a", -3.5, 5), ("bb", -2.2, 6), ("abb", -9.0, 7)]
     small = pieces.PieceModel(scored, None, 0, "unigram", ["<unk>", *(p for p, _, _ in scored)])
@@ -118,7 +204,7 @@ def search_by_force(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"region_rows": 100, "leaf_rows": 10}])
+@pytest.mark.parametrize("options", [{}, {"region_rows": 100, "leaf_rows": 10}, {"region_rows": 40, "leaf_rows": 10, "query_rows": 3}])
 def test_search(spark, options):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 16))
@@ -135,6 +221,16 @@ def test_search(spark, options):
     assert got[50] == [1000, 1001, 1002, 1003, 1004]
 
 
+def test_a_task_holds_a_bounded_number_of_queries(spark):
+    indexed = spark.range(60).selectExpr("4 AS width", "int(id % 2) AS region", "0 AS part", "binary(string(id)) AS vec")
+    visited = spark.range(1000).selectExpr("4 AS width", "int(id % 10 = 0) AS region", "0 AS part", "id AS query_id", "binary(string(id)) AS vec")
+    left, right = nearest._meetings(indexed, visited, 50)
+    by = ["width", "region", "part", "cut"]
+    sizes = {(r.region, r.cut): r["count"] for r in right.groupBy(*by).count().collect()}
+    assert max(sizes.values()) < 100 and sum(sizes.values()) == 1000 and len([k for k in sizes if k[0] == 0]) == 18
+    assert {r["count"] for r in left.groupBy(*by).count().collect()} == {30} and {(r.region, r.cut) for r in left.collect()} == set(sizes)
+
+
 def test_search_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest.search(empty, empty).count() == 0

@@ -36,8 +36,8 @@ def test_near_duplicates(docs, rows):
         least[root(k)] = min(least.get(root(k), i), i)
     expected = Counter((i, least[root(k)]) for k, i in enumerate(ids))
     assert Counter((r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect()) == expected
-    kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len({c for _, c in expected})
+    kept = near_dedup.keep_of_class(docs)
+    assert kept.columns == docs.columns and kept.count() == len({root(k) for k in range(len(rows))})
 
 
 def test_one_row_of_each_class_is_kept(spark):

@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, on a small table."""
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -37,6 +38,48 @@ def test_verdicts_fall_on_their_own_rows(spark, sf_dir, tmp_path):
     assert both.where("doc_id IS NULL").count() == both.where("doc_id = -1").count() == good
 
 
+def test_stages_take_odd_tables(spark, sf_dir):
+    """Nulls, empty and very long texts, equal rows, columns with clashing names; empty tables."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i % 977} and {i % 31}" for i in range(10_000))
+    line = "all rights reserved by somebody else"
+    rows = [(None, None), (None, ""), (1, None), (1, ""), (2, long), (2, long), (None, long), (3, "short"), *((10 + i, f"{line}\nown words of number {'abcdefghijkl'[i]} here") for i in range(12))]
+    names = ["__id", "__key", "block", "key", "n_lines", "part", "row_key", "hash", "label", "slice", "Id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(f"own {n}") for n in names if n != "n_lines"})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == [*docs.columns, *(["n_chars"] if name == "lines" else [])], name
+        found = [r.asDict() for r in got.collect()]
+        assert all(r[n] == f"own {n}" for r in found for n in names if n != "n_lines"), name
+        texts = [(r["doc_id"], r["text"]) for r in found]
+        if name in ("lines", "benchmark"):
+            assert len(texts) == len(rows), name
+        if name == "lines":
+            assert sum(line in t for _, t in texts) == 1 and texts.count((2, long)) == 2 and (None, "") in texts
+        if name == "near":  # one of the empty texts, one of the long ones, the short one, and the twelve, which are classes of their own or of each other
+            assert sum(not t for _, t in texts) == 1 and sum(t == long for _, t in texts) == 1 and (3, "short") in texts
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0 and empty.columns == got.columns, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == len(rows) and last.where("text IS NULL" if "text" in last.columns else "ids IS NULL").count() == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    from foliary.llm import shared
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Elsewhere)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as contract
 
