@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function) in order; every function takes (spark, docs,
 sf_dir) and returns a DataFrame, which is written as Parquet and read back as the
 next stage's docs. All but the last return the columns of ``documents``.
+
+Every stage takes rows with null doc_ids, null, empty and very long texts, equal
+rows, other columns of any name (which it keeps) and empty tables (which give
+empty ones). A null text counts as empty: the quality model scores it like any
+other, the line stage gives it back as empty, near duplicates keep one empty text
+of all, the benchmark stage keeps it, and it has no tokens.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ def _row_key() -> Column:
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """``docs`` without the rows that are named in ``bad`` (row_key)."""
-    return docs.withColumn("__key", _row_key()).join(bad.select(F.col("row_key").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
+    (key,) = shared.free_names(docs, "row_key")
+    return docs.withColumn(key, _row_key()).join(bad.select(F.col("row_key").alias(key)).distinct(), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines of recurring templates; n_chars follows the text."""
     cut = line_dedup.dedup(docs).drop("n_lines", "n_removed")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
