@@ -112,7 +112,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
 def classify(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD, damping: float = DAMPING, steps: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of pages (page_id, url, html)."""
     pages = pages.select("page_id", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
-    by_host = rules_by_host(pages.select("host").distinct(), rules)
+    # tables by host are written, so that their sizes are known before pages are dealt out to meet them
+    by_host = shared.materialise(rules_by_host(pages.select("host").distinct(), rules))
 
     def first_fit(rules_column, path):
         fits = F.filter(rules_column, lambda r: path.startswith(r["rule_path"]))
@@ -126,7 +127,7 @@ def classify(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD, d
     backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     trust = propagate(edges, hosts.where("allowed > 0").select("host", F.col("allowed").alias("seed")), damping, steps).withColumnRenamed("rank", "trust")
     distrust = propagate(backward, hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), damping, steps).withColumnRenamed("rank", "distrust")
-    scores = hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", *((F.coalesce(c, F.lit(0.0)) / F.col("pages")).alias(c) for c in ("trust", "distrust")))
+    scores = shared.materialise(hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", *((F.coalesce(c, F.lit(0.0)) / F.col("pages")).alias(c) for c in ("trust", "distrust"))))
     method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), F.lit("block")).otherwise(F.lit("allow"))
     return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
