@@ -98,6 +98,7 @@ def _templates(by_doc: DataFrame, agree: float, bands: int, min_docs: int) -> Da
     while True:
         rows = open_lines.select("leaf", "line", "rank", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "tokens").select("leaf", "line", "rank", _bucket(width, F.col("band")).alias("bucket"))
         buckets = rows.groupBy("bucket").agg(F.sum("rank.docs").alias("docs"), F.count("*").alias("n"), F.max("rank").alias("seed")).where((F.col("n") > 1) & (F.col("docs") >= min_docs)).select("bucket", "seed")
+        buckets = shared.materialise(buckets)  # else the join would share this count's exchange, and its hot keys couldn't be split
         meet = shared.materialise(rows.join(buckets, "bucket").select("leaf", "line", "seed").distinct())
         ours = open_lines.select("leaf", "line", "tokens")
         theirs = open_lines.select("leaf", F.col("line").alias("seed_line"), F.col("tokens").alias("seed_tokens"))
