@@ -21,6 +21,8 @@ LINE = "array<struct<id:string,text:string,error:string>>"
 class Renderer:
     """Turns the tree of one template into a Column for records of one schema."""
 
+    EMPTY = LINE
+
     def __init__(self, compiled: Compiled, schema: T.StructType, locale: str, zone: str, permissive: bool = False):
         if not compiled.ok:
             raise ValueError(f"the template has errors: {compiled.problems}")
@@ -42,7 +44,7 @@ class Renderer:
 
     def _nodes(self, nodes: list, item, schema, suffix: Column) -> Column:
         parts = [self._node(n, item, schema, suffix) for n in nodes]
-        return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(LINE)
+        return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(self.EMPTY)
 
     def _node(self, node, item, schema, suffix: Column) -> Column:
         if isinstance(node, Loop):
@@ -55,7 +57,7 @@ class Renderer:
                 below = F.when(suffix == "", F.concat(F.lit("~each-"), i.cast("string"))).otherwise(F.concat(suffix, F.lit("-"), i.cast("string")))
                 return self._nodes(node.body, element, inner, below)
 
-            return F.coalesce(F.flatten(F.transform(found[0], body)), F.array().cast(LINE))
+            return F.coalesce(F.flatten(F.transform(found[0], body)), F.array().cast(self.EMPTY))
         if isinstance(node, Branch):
             found = self._lookup(node.path, item, schema)
             if found is None or not isinstance(found[1], T.BooleanType):

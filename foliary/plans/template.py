@@ -21,7 +21,7 @@ KINDS = ("string", "number", "boolean", "date")
 _SEGMENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _PATH = r"[A-Za-z_$][A-Za-z0-9_$.]*"
 _VALUE = re.compile(rf"({_PATH})(?:\s*:\s*([A-Za-z]+))?")
-_MARKER = re.compile(rf"\{{\{{\s*(?:#(if|each)\s+({_PATH})|(else)|/(if|each))\s*\}}\}}")
+MARKER = re.compile(rf"\{{\{{\s*(?:#(if|each)\s+({_PATH})|(else)|/(if|each))\s*\}}\}}")
 _QUOTED = re.compile(r"""(["'])([^"']*)\1""")
 _OLD_IMAGE = re.compile(r"image(?:\s|:|\()|.*:\s*image(?:\s*\|.*)?$", re.I | re.S)
 
@@ -197,7 +197,7 @@ def compile_template(paragraphs: list[str]) -> Compiled:
     stack: list[tuple[object, list]] = []
     into = root
     for ordinal, text in enumerate(paragraphs):
-        m = _MARKER.fullmatch(text.strip())
+        m = MARKER.fullmatch(text.strip())
         if m is None:
             into.append(parse_paragraph(text, ordinal, problems))
             continue
