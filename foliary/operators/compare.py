@@ -63,15 +63,28 @@ def best_offset(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
     return costs.agg(F.min_by(F.struct("dx", "dy", "cost"), order).alias("m")).select("m.*")
 
 
-def compare_texts(rows: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Equality, lengths and the length of the common beginning of two texts."""
-    from foliary.functions.text import count_lines, normalise_spaces
-
-    n = F.least(F.length(a), F.length(b))
+def _common(a: Column, b: Column, n: Column) -> Column:
+    """Length of the common beginning of two texts, ``n`` at most."""
     # bisect on equal beginnings: a fixed number of substring comparisons
     halve = lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(F.when(F.substring(a, F.lit(1), F.ceil((s["low"] + s["high"]) / 2).cast("int")) == F.substring(b, F.lit(1), F.ceil((s["low"] + s["high"]) / 2).cast("int")), F.struct(F.ceil((s["low"] + s["high"]) / 2).cast("int").alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (F.ceil((s["low"] + s["high"]) / 2) - 1).cast("int").alias("high"))))
-    prefix = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda s: s["low"])
-    return rows.select("*", (a == b).alias("exact"), (normalise_spaces(a) == normalise_spaces(b)).alias("normalised"), F.length(a).alias("length_a"), F.length(b).alias("length_b"), count_lines(a).alias("lines_a"), prefix.alias("common_prefix"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda s: s["low"])
+
+
+def compare_texts(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Equality, lengths, lines, the common beginning and end of two texts, and what stands where they first differ.
+
+    The common end never reaches into the common beginning.
+    """
+    from foliary.functions.text import count_lines, excerpt, normalise_spaces
+
+    shorter = F.least(F.length(a), F.length(b))
+    out = rows.select(
+        "*", (a == b).alias("exact"), (normalise_spaces(a) == normalise_spaces(b)).alias("normalised"), F.length(a).alias("length_a"), F.length(b).alias("length_b"),
+        count_lines(a).alias("lines_a"), count_lines(b).alias("lines_b"), _common(a, b, shorter).alias("common_prefix"),
+    )
+    prefix = F.col("common_prefix")
+    differs = lambda x: F.when(~F.col("exact"), excerpt(x, prefix))
+    return out.select("*", _common(F.reverse(a), F.reverse(b), shorter - prefix).alias("common_suffix"), differs(a).alias("excerpt_a"), differs(b).alias("excerpt_b"))
 
 
 def upper_median(values: Column) -> Column:

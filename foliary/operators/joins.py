@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,17 @@ def mismatched(fields: DataFrame, tags: DataFrame, key: str, role: str, kind: st
     return fields.join(tags, key).where(F.col(role) != F.col(kind))
 
 
-def style_chains(styles: DataFrame, max_depth: int = 32) -> DataFrame:
+def style_chains(styles: DataFrame) -> DataFrame:
     """id, depth, ancestor, problem: a style's ancestors by ``based_on``, itself at depth 0.
 
-    Each round is one equi-join; the number of rounds is bounded by ``max_depth``.
-    A chain ends with ``DOCX_MISSING_STYLE_PARENT``, ``DOCX_STYLE_TYPE_MISMATCH`` or
+    Each round is one equi-join; a chain meets no style twice, so the rounds end with
+    the longest one. It ends with ``DOCX_MISSING_STYLE_PARENT``, ``DOCX_STYLE_TYPE_MISMATCH`` or
     ``DOCX_STYLE_CYCLE`` where it is at fault.
     """
     parents = styles.select(F.col("id").alias("p_id"), F.col("type").alias("p_type"), F.col("based_on").alias("p_next"))
     level = styles.select("id", F.lit(0).alias("depth"), F.col("id").alias("ancestor"), F.col("type"), F.col("based_on").alias("next"), F.array("id").alias("path"), F.lit(None).cast("string").alias("problem"))
     out = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         level = level.where(F.col("next").isNotNull() & F.col("problem").isNull()).join(parents, F.col("next") == F.col("p_id"), "left")
         problem = F.when(F.col("p_id").isNull(), "DOCX_MISSING_STYLE_PARENT").when(F.array_contains("path", F.col("next")), "DOCX_STYLE_CYCLE").when(F.col("p_type") != F.col("type"), "DOCX_STYLE_TYPE_MISMATCH")
         level = level.select("id", F.lit(depth).alias("depth"), F.col("next").alias("ancestor"), "type", F.when(problem.isNull(), F.col("p_next")).alias("next"), F.array_append("path", F.col("next")).alias("path"), problem.alias("problem"))
@@ -103,11 +105,11 @@ def font_match(requests: DataFrame, faces: DataFrame) -> DataFrame:
     return requests.join(faces, "family").groupBy(*requests.columns).agg(F.min_by("face_weight", rank).alias("matched"))
 
 
-def resolve_aliases(aliases: DataFrame, max_depth: int = 16) -> DataFrame:
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """alias -> target at the end of its chain; null where the chain runs in a circle."""
     step = aliases.select(F.col("alias").alias("s_from"), F.col("target").alias("s_to"))
     out = aliases.select("alias", "target", F.array("alias", "target").alias("path"), F.lit(False).alias("circle"))
-    for _ in range(max_depth):
+    while True:  # a chain meets no alias twice
         out = out.join(step, F.col("target") == F.col("s_from"), "left")
         closes = F.col("s_to").isNotNull() & F.array_contains("path", F.coalesce("s_to", F.lit("")))
         moves = F.col("s_to").isNotNull() & ~F.col("circle") & ~closes
@@ -125,16 +127,19 @@ def upsert(current: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
     return current.join(right, key, "full").select(key, *(F.coalesce(c, f"__{c}").alias(c) for c in names))
 
 
-def flatten_choices(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """value, label of the leaves of a choice tree (value, parent, label); the label holds its ancestors."""
-    level = nodes.where(F.col("parent").isNull()).select("value", "label")
+def flatten_choices(nodes: DataFrame) -> DataFrame:
+    """value, label of the leaves of a choice tree (value, parent, label); the label holds its ancestors.
+
+    A value that is its own ancestor ends there.
+    """
+    level = nodes.where(F.col("parent").isNull()).select("value", "label", F.array("value").alias("path"))
     inner = nodes.select(F.col("parent").alias("value")).where(F.col("value").isNotNull()).distinct()
     out = None
-    for _ in range(max_depth):
-        leaves = level.join(inner, "value", "left_anti")
+    while True:
+        leaves = level.join(inner, "value", "left_anti").select("value", "label")
         out = leaves if out is None else out.unionByName(leaves)
         below = nodes.select(F.col("value").alias("c_value"), F.col("parent").alias("c_parent"), F.col("label").alias("c_label"))
-        level = level.join(below, F.col("value") == F.col("c_parent")).select(F.col("c_value").alias("value"), F.concat_ws(" / ", "label", "c_label").alias("label"))
+        level = level.join(below, F.col("value") == F.col("c_parent")).where(~F.array_contains("path", F.col("c_value")))
+        level = level.select(F.col("c_value").alias("value"), F.concat_ws(" / ", "label", "c_label").alias("label"), F.array_append("path", F.col("c_value")).alias("path"))
         if level.isEmpty():
-            break
-    return out
+            return out

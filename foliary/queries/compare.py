@@ -84,16 +84,21 @@ def argmin_offset(spark, sf_dir):
 @query(
     "text_compare_prefix",
     """
-    WITH p AS (SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
-    SELECT doc_id, x = y AS exact, length(x)::INT AS length_a, length(y)::INT AS length_b, coalesce(list_max(list_filter(range(1, least(length(x), length(y)) + 1), lambda n: substr(x, 1, n) = substr(y, 1, n))), 0)::INT AS common_prefix FROM p WHERE length(x) < 400
-    UNION ALL SELECT doc_id, true, length(text)::INT, length(text)::INT, length(text)::INT FROM documents
+    WITH t AS (SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 UNION ALL SELECT doc_id, text, text || ' end' FROM documents UNION ALL SELECT doc_id, text, text FROM documents),
+    s AS (SELECT *, least(length(x), length(y)) AS n, string_split(x, '') AS a, string_split(y, '') AS b FROM t),
+    p AS (SELECT *, coalesce(nullif(list_position(list_transform(list_zip(a[1:n], b[1:n]), lambda c: c[1] <> c[2]), true), 0) - 1, n) AS pre FROM s),
+    q AS (SELECT *, list_zip(list_reverse(a)[1:n - pre], list_reverse(b)[1:n - pre]) AS back FROM p)
+    SELECT doc_id, x = y AS exact, length(x)::INT AS length_a, length(y)::INT AS length_b, CASE WHEN x = '' THEN 0 ELSE len(string_split(x, chr(10))) END::INT AS lines_a, CASE WHEN y = '' THEN 0 ELSE len(string_split(y, chr(10))) END::INT AS lines_b,
+           pre::INT AS common_prefix, coalesce(nullif(list_position(list_transform(back, lambda c: c[1] <> c[2]), true), 0) - 1, n - pre)::INT AS common_suffix,
+           CASE WHEN x <> y THEN substr(x, greatest(pre - 40, 0) + 1, pre + 80 - greatest(pre - 40, 0)) END AS excerpt_a, CASE WHEN x <> y THEN substr(y, greatest(pre - 40, 0) + 1, pre + 80 - greatest(pre - 40, 0)) END AS excerpt_b
+    FROM q
     """,
 )
 def text_compare_prefix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    pairs = docs.join(after, "doc_id").where(F.length("text") < 400).unionByName(docs.withColumn("other", F.col("text")))
-    return compare.compare_texts(pairs, F.col("text"), F.col("other")).select("doc_id", "exact", "length_a", "length_b", "common_prefix")
+    pairs = docs.join(after, "doc_id").unionByName(docs.withColumn("other", F.concat("text", F.lit(" end")))).unionByName(docs.withColumn("other", F.col("text")))
+    return compare.compare_texts(pairs, F.col("text"), F.col("other")).drop("text", "other", "normalised")
 
 
 @query("table_bounds_per_page", "SELECT l_linenumber AS page, min(l_partkey) AS \"left\", max(l_partkey) AS \"right\", min(l_suppkey) AS top, max(l_suppkey) AS bottom FROM lineitem GROUP BY 1")

@@ -113,3 +113,43 @@ def image_headers(spark, sf_dir):
     header = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), number(F.col("p_size")), number(F.col("p_size") % 7 + 1))
     found = parts.select("p_partkey", header.alias("content"))
     return found.select("p_partkey", sniff(F.col("content")).alias("kind"), size_of(F.col("content")).alias("s")).select("p_partkey", "kind", "s.width", "s.height")
+
+
+@query("page_links", "SELECT page_id AS doc_id, 0 AS page, '72 ' || (800 - page_id % 700) || ' 172 ' || (812 - page_id % 700) AS place, url AS target FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, 1, '10 790 20 800', 'https://example.com/a%20b(' || page_id || ')' FROM pages WHERE url IS NOT NULL")
+def page_links(spark, sf_dir):
+    """Every page's address as a link in a file of two pages, read back."""
+    import pyarrow as pa
+
+    from foliary.sinks.pdf import write_pdf
+    from foliary.sources.data import read_links
+
+    def pack(batches):
+        for batch in batches:
+            ids, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
+            links = [[[(1440, (30 + i % 700) * 20, 2000, 240, url)], [(200, 840, 200, 200, f"https://example.com/a b({i})")]] for i, url in zip(ids, urls, strict=True)]
+            files = [write_pdf([[], []], 11900, 16840, 220, links=own)[0] for own in links]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "content"])
+
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), "url")
+    return read_links(pages.mapInArrow(pack, "doc_id long, content binary"))
+
+
+@query("page_shapes", "SELECT p_partkey AS doc_id, 'q 1 0 0.502 rg ' || p_size || ' 100 20 10 re f Q|q 0 0 0 RG 0.5 w [2 1] 0 d 0 192 m ' || p_size || ' 192 l S Q' AS drawn, 'Part ' || p_partkey AS title, 'Somebody' AS author FROM part")
+def page_shapes(spark, sf_dir):
+    """A rectangle and a dashed line for each part, and who wrote it, from the bytes of its page file."""
+    import pyarrow as pa
+
+    from foliary.sinks.pdf import write_pdf
+
+    def pack(batches):
+        for batch in batches:
+            rows = list(zip(batch.column("p_partkey").to_pylist(), batch.column("p_size").to_pylist(), strict=True))
+            shapes = [[[("rectangle", s * 20, 1800, 400, 200, "#FF0080"), ("line", 0, 160, s * 20, 160, 10, "#000000", (40, 20))]] for _, s in rows]
+            files = [write_pdf([[]], 4000, 4000, 220, f"Part {k}", shapes=own, author="Somebody")[0] for (k, _), own in zip(rows, shapes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "content"])
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"))
+    body = F.decode("content", "ISO-8859-1")
+    drawn = F.array_join(F.regexp_extract_all(body, F.lit("(?m)^(q .* Q)$"), F.lit(1)), "|")
+    named = lambda k: F.regexp_extract(body, rf"/{k} \(([^)]*)\)", 1)
+    return parts.mapInArrow(pack, "doc_id long, content binary").select("doc_id", drawn.alias("drawn"), named("Title").alias("title"), named("Author").alias("author"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +38,36 @@ def colour(value: str) -> tuple[float, float, float] | None:
     return r / 255, g / 255, b / 255
 
 
-def write_pdf(pages: list[list[tuple[int, int, str]]], width: int, height: int, size: int, title: str = "") -> tuple[bytes, str | None]:
-    """Bytes of a file whose pages hold lines (x, baseline y from the top, text), and a problem or null."""
+def _shape(shape: tuple, height: int) -> bytes:
+    """Drawing operators of ("rectangle", x, y, width, height, colour) or ("line", x1, y1, x2, y2, width, colour, dashes); y from the top."""
+    numbers = lambda *v: " ".join(point(n) for n in v)
+    shares = lambda value: " ".join(f"{c:.4f}".rstrip("0").rstrip(".") for c in colour(value) or (0, 0, 0))
+    if shape[0] == "rectangle":
+        _, x, y, w, h, fill = shape
+        return f"q {shares(fill)} rg {numbers(x, height - y - h, w, h)} re f Q".encode()
+    _, x1, y1, x2, y2, w, stroke, dashes = shape
+    return f"q {shares(stroke)} RG {numbers(w)} w [{numbers(*dashes)}] 0 d {numbers(x1, height - y1)} m {numbers(x2, height - y2)} l S Q".encode()
+
+
+def _link(box: tuple[int, int, int, int, str], height: int) -> bytes:
+    """An annotation that opens a link from its box (x, y from the top, width, height, target)."""
+    x, y, w, h, target = box
+    address = literal(quote(target, safe="%/:=&?~#+!$,;'@()*[]"))[0]
+    return f"<< /Type /Annot /Subtype /Link /Rect [{point(x)} {point(height - y - h)} {point(x + w)} {point(height - y)}] /Border [0 0 0] /A << /S /URI /URI ".encode() + address + b" >> >>"
+
+
+def write_pdf(pages: list[list[tuple[int, int, str]]], width: int, height: int, size: int, title: str = "", links: list[list[tuple]] = (), shapes: list[list[tuple]] = (), **about: str) -> tuple[bytes, str | None]:
+    """Bytes of a file whose pages hold lines (x, baseline y from the top, text), and a problem or null.
+
+    ``links`` and ``shapes`` give each page's link boxes and, below its text, its
+    rectangles and lines; ``about`` may name author, subject and keywords.
+    """
     problem = None
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
     kids = []
-    for lines in pages:
-        parts = []
+    for number, lines in enumerate(pages):
+        parts = [_shape(s, height) for s in (shapes[number] if number < len(shapes) else ())]
+        boxes = [_link(b, height) for b in (links[number] if number < len(links) else ())]
         for x, y, text in lines:
             data, whole = literal(text)
             if not whole:
@@ -50,18 +75,20 @@ def write_pdf(pages: list[list[tuple[int, int, str]]], width: int, height: int,
             parts.append(b"BT /F1 " + point(size).encode() + b" Tf 1 0 0 1 " + point(x).encode() + b" " + point(height - y).encode() + b" Tm " + data + b" Tj ET")
         stream = b"\n".join(parts)
         objects.append(b"<< /Length " + str(len(stream)).encode() + b" >>\nstream\n" + stream + b"\nendstream")
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {point(width)} {point(height)}] /Resources << /Font << /F1 3 0 R >> >> /Contents {len(objects)} 0 R >>".encode())
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {point(width)} {point(height)}] /Resources << /Font << /F1 3 0 R >> >> /Contents {len(objects)} 0 R".encode() + (b" /Annots [" + b" ".join(boxes) + b"]" if boxes else b"") + b" >>")
         kids.append(f"{len(objects)} 0 R")
     objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode()
-    if title:
-        objects.append(b"<< /Title " + literal(title)[0] + b" >>")
+    known = {"Title": title, **{k.capitalize(): about[k] for k in ("author", "subject", "keywords") if k in about}}
+    known = {k: v for k, v in known.items() if v}
+    if known:
+        objects.append(b"<< " + b" ".join(f"/{k} ".encode() + literal(v)[0] for k, v in known.items()) + b" >>")
     out, places = bytearray(b"%PDF-1.7\n"), []
     for i, body in enumerate(objects, 1):
         places.append(len(out))
         out += f"{i} 0 obj\n".encode() + body + b"\nendobj\n"
     table = len(out)
     out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{p:010d} 00000 n \n".encode() for p in places)
-    info = f" /Info {len(objects)} 0 R" if title else ""
+    info = f" /Info {len(objects)} 0 R" if known else ""
     out += f"trailer\n<< /Size {len(objects) + 1} /Root 1 0 R{info} >>\nstartxref\n{table}\n%%EOF\n".encode()
     return bytes(out), problem
 

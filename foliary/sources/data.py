@@ -134,3 +134,19 @@ def read_pages(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.string(), pa.string())], names=["doc_id", "page", "text", "problem"])
 
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, "doc_id long, page int, text string, problem string")
+
+
+def read_links(files: DataFrame) -> DataFrame:
+    """doc_id, page, place, target of the links in page files (doc_id, content), in order; ``place`` is left, bottom, right and top in points."""
+    link = re.compile(rb"/Subtype /Link /Rect \[([^\]]*)\].*?/URI \(((?:[^\\()]|\\.)*)\)", re.S)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                pages = re.findall(rb"(?s)<< /Type /Page /.*?endobj", content or b"")
+                rows += [(doc, i, m[1].decode(), decode_literal(m[2]).decode("cp1252")) for i, page in enumerate(pages) for m in link.finditer(page)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["doc_id", "page", "place", "target"])
+
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, "doc_id long, page int, place string, target string")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 def _folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="foliary-stream-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         root = f"file://{path}"
