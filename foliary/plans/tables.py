@@ -1,8 +1,8 @@
 """Templates in tables: row blocks, their guards, and tables of records rendered row by row.
 
 A row whose only visible paragraph is a block marker opens or closes a block of
-rows. Any other row is rendered cell by cell; a cell's paragraphs are a template
-of their own, whose blocks end in it. A whole table is one Column, as a whole
+rows; a marker beside anything else is a problem. Any other row is rendered cell
+by cell, paragraph by paragraph. A whole table is one Column, as a whole
 document is: a row loop is a ``transform`` over its array, flattened.
 """
 
@@ -80,7 +80,7 @@ def compile_table(rows: list[Row]) -> Compiled:
                 inner = compile_template(cell.paragraphs)
                 node.cells.append(inner.nodes)
                 codes = {p.code for p in inner.problems} - {"TEMPLATE_TYPE_CONFLICT", "TEMPLATE_PATH_CONFLICT"}  # judged over the whole table
-                problems += [Problem("TEMPLATE_CROSS_CONTAINER_BLOCK" if c == "TEMPLATE_UNCLOSED_BLOCK" else c, ordinal) for c in sorted(codes)]
+                problems += [Problem(c, ordinal) for c in sorted(codes)]
             into.append(node)
         else:
             opened, path, other, closed = marker.groups()
