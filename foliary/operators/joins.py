@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliary.session import written
+
 
 def fill_tags(tags: DataFrame, catalog: DataFrame, key: str, value: str, raw: str) -> DataFrame:
     """Tags with their catalog value; a tag that the catalog lacks keeps its raw text."""
@@ -44,6 +46,7 @@ def style_chains(styles: DataFrame) -> DataFrame:
         level = level.where(F.col("next").isNotNull() & F.col("problem").isNull()).join(parents, F.col("next") == F.col("p_id"), "left")
         problem = F.when(F.col("p_id").isNull(), "DOCX_MISSING_STYLE_PARENT").when(F.array_contains("path", F.col("next")), "DOCX_STYLE_CYCLE").when(F.col("p_type") != F.col("type"), "DOCX_STYLE_TYPE_MISMATCH")
         level = level.select("id", F.lit(depth).alias("depth"), F.col("next").alias("ancestor"), "type", F.when(problem.isNull(), F.col("p_next")).alias("next"), F.array_append("path", F.col("next")).alias("path"), problem.alias("problem"))
+        level = written(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -114,6 +117,7 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
         closes = F.col("s_to").isNotNull() & F.array_contains("path", F.coalesce("s_to", F.lit("")))
         moves = F.col("s_to").isNotNull() & ~F.col("circle") & ~closes
         out = out.select("alias", F.when(moves, F.col("s_to")).otherwise(F.col("target")).alias("target"), F.when(moves, F.array_append("path", F.col("s_to"))).otherwise(F.col("path")).alias("path"), (F.col("circle") | closes).alias("circle"), moves.alias("moved"))
+        out = written(out)
         if out.where("moved").isEmpty():
             break
         out = out.drop("moved")
@@ -141,5 +145,6 @@ def flatten_choices(nodes: DataFrame) -> DataFrame:
         below = nodes.select(F.col("value").alias("c_value"), F.col("parent").alias("c_parent"), F.col("label").alias("c_label"))
         level = level.join(below, F.col("value") == F.col("c_parent")).where(~F.array_contains("path", F.col("c_value")))
         level = level.select(F.col("c_value").alias("value"), F.concat_ws(" / ", "label", "c_label").alias("label"), F.array_append("path", F.col("c_value")).alias("path"))
+        level = written(level)
         if level.isEmpty():
             return out

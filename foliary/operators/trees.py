@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliary.session import written
+
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
     """id, depth, path of a forest (id, parent, ordinal): ordinals from the root on; nodes that no root reaches are left out.
@@ -16,6 +18,7 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     out = level
     while not level.isEmpty():
         level = level.join(below, F.col("id") == F.col("parent")).select(F.col("c_id").alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("c_ordinal")).alias("path"))
+        level = written(level)
         out = out.unionByName(level)
     return out
 

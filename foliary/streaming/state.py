@@ -6,24 +6,10 @@ that is unset, as in local tests, under a temporary folder.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="foliary-stream-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        root = f"file://{path}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from foliary.session import shared_folder
 
 
 def _events(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +21,7 @@ def _events(spark: SparkSession, path: str) -> DataFrame:
 def _drain(stream: DataFrame, mode: str, write) -> str:
     """Run a stream over everything available; ``write(batch, epoch, folder)`` stores each batch."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, epoch: write(batch, epoch, folder)).start()
     query.awaitTermination()
     return folder
