@@ -379,7 +379,7 @@ def _best_path(word: str, scores: dict[str, float], longest: int) -> list[int]:
 def encode(docs: DataFrame, model: PieceModel, block_bytes: int = shared.BLOCK_BYTES, slice_bytes: int = SLICE_BYTES, decoded: bool = False) -> DataFrame:
     """doc_id, text, ids of every document; with ``decoded`` also the text that the ids decode to."""
     total = shared.text_bytes(docs)
-    blocks = shared.deal_blocks(docs, shared.block_count(total, block_bytes))
+    blocks = shared.deal_blocks(docs, shared.block_count(total, block_bytes), block_bytes)
     bits = shared.slices_for(total, slice_bytes)
     slices = 1 << bits
     cutter = Cutter(model)

@@ -6,7 +6,8 @@ dedup, tokenisation) deal the documents once into blocks of about
 zstd-compressed UTF-8 and is the unit of work of one Python call, so a task
 holds one block at a time whatever the size of the corpus. The parts of a block
 arrive in any order, another one at every reading, so a block is put in the
-order of its rows' hashes: every kernel sees the same block each time.
+order of its rows' hashes: every kernel sees the same block each time. Rows equal
+in doc_id and text that together would fill a block are dealt in shares of a block.
 
 Questions and replies. A block asks about its keys (hashes) by sending them,
 once each, to the slice of the key space they belong to; a slice answers every
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text per block.
 BLOCK_BYTES = 2_000_000
+#: Bytes that a row takes in a block beside its text, about.
+ROW_BYTES = 64
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two polynomial hashes
 _SEED = 20_240_229
@@ -170,7 +173,27 @@ def unpack_block(payloads) -> Block:
     return Block([ids[i] for i in place], np.concatenate([bodies[i] for i in place]), offsets, np.concatenate(nulls)[order])
 
 
-def deal_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+def _in_shares(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """``rows`` (doc_id, text, hash) with ``place``, which decides the block: the hash, or for rows with copies that would fill a block one for each share of them.
+
+    Copies are counted and made again from their number, so which of them stands where never matters.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    heavy = materialise(rows.groupBy("hash").agg(F.count("*").alias("n"), F.max(size).alias("size")).where((F.col("n") > 1) & (F.col("n") * F.col("size") > block_bytes)).select("hash"))
+    if heavy.isEmpty():
+        return rows.withColumn("place", F.col("hash"))
+    single = rows.join(heavy, "hash", "left_anti").select("doc_id", "text", "hash", F.col("hash").alias("place"))
+    # the text and the number of copies travel, not the copies
+    counted = rows.join(heavy, "hash", "left_semi").groupBy("doc_id", "text", "hash").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("most", F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / size)).cast("long"))
+    shares = counted.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("most")).cast("long"))))
+    shares = shares.withColumn("place", F.xxhash64("hash", "share")).repartition("place")
+    copies = F.least("most", F.col("n") - F.col("share") * F.col("most"))
+    made = shares.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return single.unionByName(made.select("doc_id", "text", "hash", "place"))
+
+
+def deal_blocks(docs: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (block, part): the documents dealt by a hash of the whole row into ``blocks`` blocks, compressed."""
 
     def pack(batches):
@@ -178,14 +201,14 @@ def deal_blocks(docs: DataFrame, blocks: int) -> DataFrame:
             offsets, data, nulls = _string_buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             hashes = batch.column("hash").to_numpy(zero_copy_only=False)
-            block = hashes % blocks  # not negative, as numpy's remainder has the divisor's sign
+            block = batch.column("place").to_numpy(zero_copy_only=False) % blocks  # not negative, as numpy's remainder has the divisor's sign
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
             groups = np.split(order, cuts) if len(order) else []
             yield pa.RecordBatch.from_arrays([pa.array([int(block[g[0]]) for g in groups], pa.int32()), pa.array([_pack(ids, offsets, data, nulls, hashes, g) for g in groups], pa.binary())], names=["block", "part"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("hash", F.xxhash64("doc_id", "text")).mapInArrow(pack, "block int, part binary")
+    return _in_shares(rows.withColumn("hash", F.xxhash64("doc_id", "text")), block_bytes).mapInArrow(pack, "block int, part binary")
 
 
 def ask(blocks: DataFrame, kernel, schema: str) -> DataFrame:

@@ -162,7 +162,7 @@ _ASK = "g int, block int, n int, data binary"
 def dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = shared.BLOCK_BYTES, slice_bits: int = SLICE_BITS, per_slice: int = PER_SLICE) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space)."""
     total = shared.text_bytes(docs)
-    blocks = shared.deal_blocks(docs, shared.block_count(total, block_bytes))
+    blocks = shared.deal_blocks(docs, shared.block_count(total, block_bytes), block_bytes)
     n = max(1.0, total / 6)  # windows, about; sizes the sketch only
     width_bits = max(slice_bits, int(np.ceil(np.log2(4 * n))))
     exact_bits = shared.slices_for(n / 2, per_slice)

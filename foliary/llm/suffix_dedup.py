@@ -290,7 +290,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
     if not 8 <= anchor < length:
         raise ValueError("an anchor has 8 bytes at least and is shorter than the strings")
     total = shared.text_bytes(docs)
-    blocks = shared.deal_blocks(docs, shared.block_count(total, block_bytes))
+    blocks = shared.deal_blocks(docs, shared.block_count(total, block_bytes), block_bytes)
     key_bits = shared.slices_for(2 * total / (length - anchor), per_slice)
     string_bits = shared.slices_for(total / 8, per_slice)
     buckets = max(1, -(-total // bucket_bytes))

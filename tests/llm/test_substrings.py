@@ -90,6 +90,29 @@ def test_a_block_does_not_depend_on_the_order_of_its_parts(spark, docs):
             assert getattr(one, name).tolist() == getattr(other, name).tolist()
 
 
+def test_equal_rows_share_out_over_blocks(spark):
+    """Half of all rows are one row, without a doc_id; another is repeated with an id; longer ones stay single."""
+    from foliary.llm import shared
+
+    rng = random.Random(5)
+    own = [(i, "".join(rng.choice("abcdefgh ") for _ in range(300))) for i in range(300)]
+    rows = own + [(None, own[0][1])] * 300 + [(None, None)] * 500 + [(7, "again " * 200)] * 40 + [(8, "long " * 4_000)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    most, held = 5_000, {}
+    for r in shared.deal_blocks(docs, 60, most).collect():
+        held.setdefault(r.block, []).append(bytes(r.part))
+    blocks = [shared.unpack_block(parts) for parts in held.values()]
+    found = Counter((i, None if block.nulls[k] else block.raw(k).decode()) for block in blocks for k, i in enumerate(block.ids))
+    assert found == Counter(rows)
+    copies = [sum(i is None for i in block.ids) for block in blocks]
+    assert max(copies) < 250 and sum(c > 0 for c in copies) > 15
+    got = [tuple(r) for r in suffix_dedup.dedup(docs, length=80, anchor=16, block_bytes=most).drop("kept").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, by_bytes(rows, 80)))
+    got = [tuple(r) for r in substring_dedup.dedup(docs, block_bytes=most).drop("kept").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, by_words(rows, 13)))
+
+
 def test_anchors_spread_over_slices():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 123, 200_000).astype(np.uint8)
