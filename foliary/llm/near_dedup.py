@@ -46,9 +46,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 LOWEST = 0.6
 CHUNK = 64
-#: Keys of a block of a bucket that is compared whole, and bytes of sets a task holds about.
+#: Keys of a block of a bucket that is compared whole, and bytes of sets a call holds about: those of one meeting of two blocks.
 BLOCK = 256
-SET_BYTES = 16_000_000
+SET_BYTES = 2_000_000
 #: Buckets of the hashed table of document frequencies.
 TERM_BITS = 18
 CHUNK_BYTES = 2_000_000
