@@ -45,6 +45,8 @@ SPACE = "▁"
 LONG = 48
 #: UTF-8 bytes of text per slice of the word space, about.
 SLICE_BYTES = 6_000_000
+#: Characters hashed at a time.
+HASH_CHARS = 250_000
 #: Pieces up to which the piece table is broadcast.
 BROADCAST_PIECES = 1_000_000
 
@@ -146,15 +148,24 @@ class Cutter:
         longer = [(p, i) for p, _, i in model.pieces if len(p) > 1]
         points = np.frombuffer("".join(p for p, _ in longer).encode("utf-32-le"), np.uint32)
         size = np.array([len(p) for p, _ in longer], np.int64)
-        hashes = self.hashes(points, self.number[points]).of(np.cumsum(size) - size, np.cumsum(size))
+        hashes = self.hashes(points, self.number[points], np.cumsum(size) - size, np.cumsum(size))
         order = np.argsort(hashes)
         self.piece_hash, self.piece_id = hashes[order], np.array([i for _, i in longer], np.int32)[order]
 
-    def hashes(self, points: np.ndarray, kind: np.ndarray) -> shared.RollingHash:
-        symbols = shared.mix64(np.arange(1, self.width + 1, dtype=np.uint64))[kind]
-        odd = np.flatnonzero(kind == 0)
-        symbols[odd] = shared.mix64(points[odd].astype(np.uint64) + np.uint64(1 << 40))
-        return shared.RollingHash(symbols, mixed=True)
+    def hashes(self, points: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs in ascending order that don't overlap, about ``HASH_CHARS`` characters at a time: a run's hash doesn't depend on its place."""
+        table = shared.mix64(np.arange(1, self.width + 1, dtype=np.uint64))
+        out = np.empty(len(start), np.uint64)
+        a = 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(end, start[a] + HASH_CHARS, "right")))
+            own, first = slice(start[a], end[b - 1]), start[a]
+            symbols = table[kind[own]]
+            odd = np.flatnonzero(kind[own] == 0)
+            symbols[odd] = shared.mix64(points[own][odd].astype(np.uint64) + np.uint64(1 << 40))
+            out[a:b] = shared.RollingHash(symbols, mixed=True).of(start[a:b] - first, end[a:b] - first)
+            a = b
+        return out
 
     def ids(self, points: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Ids of the pieces that begin at ``heads``."""
@@ -162,7 +173,7 @@ class Cutter:
         end = np.append(start[1:], len(points)) if len(start) else start
         out = self.single[points[start]]
         long = np.flatnonzero(end - start > 1)
-        out[long] = self.piece_id[np.searchsorted(self.piece_hash, self.hashes(points, self.number[points]).of(start[long], end[long]))]
+        out[long] = self.piece_id[np.searchsorted(self.piece_hash, self.hashes(points, self.number[points], start[long], end[long]))]
         return out
 
     def words(self, block):
@@ -187,7 +198,7 @@ class _Words:
     def __init__(self, cutter: Cutter, block, bits: int):
         points, kind, bounds, self.counts = cutter.words(block)
         start, end = bounds[:-1], bounds[1:]
-        hashes = cutter.hashes(points, kind).of(start, end)
+        hashes = cutter.hashes(points, kind, start, end)
         distinct, index, which = np.unique(hashes, return_index=True, return_inverse=True)
         start, end = start[index], end[index]
         piece = (distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
@@ -452,7 +463,9 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = shared.BLOCK_B
         size = np.add.reduceat(heads, base).astype(np.int64) if len(base) else base
         begin = np.cumsum(size) - size
         n = size[words.which]
-        ids = flat[np.repeat(begin[words.which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at = np.repeat(begin[words.which] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        ids = flat[at]
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(words.counts)])]
         ids, grown = spelled_out(ids, byte_ids, unknown)
         ends = grown[ends]

@@ -256,11 +256,12 @@ def powers(base: int, n: int) -> np.ndarray:
     kept = sys.__dict__.setdefault("_foliary_powers", {})  # per process; not shipped with the function
     have = kept.get(base)
     if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        steps = np.full(size + 1, base, np.uint64)
-        steps[0] = 1
+        size = -(-(n + 1) // (1 << 16)) << 16  # whole steps of 2^16, so that a little more text doesn't double it
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
         with np.errstate(over="ignore"):
-            have = kept[base] = np.cumprod(steps, dtype=np.uint64)
+            np.cumprod(have, out=have)
+        kept[base] = have
     return have
 
 
@@ -284,7 +285,8 @@ class RollingHash:
         n = len(symbols)
         with np.errstate(over="ignore"):
             self._prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(symbols * powers(base, n)[:n], out=self._prefix[1:])
+            np.multiply(symbols, powers(base, n)[:n], out=self._prefix[1:])
+            np.cumsum(self._prefix[1:], out=self._prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
