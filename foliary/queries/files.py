@@ -147,13 +147,13 @@ def page_reports(spark, sf_dir):
 
 @query("page_files_read_back", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(10)), '[ \\t]*\\n[ \\t]*|[ \\t]+', ' ', 'g') AS words FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\\x0A\\x20-\\x7E]', '', 'g'), ' +', ' ', 'g') AS text FROM documents)")
 def page_files_read_back(spark, sf_dir):
-    """Every document as a page file, read again: the words in order (lines are cut at blanks only, the pages being wide)."""
+    """Every document as a page file, read again: the words in order (no line is broken, pages being as wide as they need), a document without a text having none."""
     from foliary.sinks.pdf import render_files
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"[^\x0A\x20-\x7E]", ""), " +", " ").alias("text"))
-    pages = data.read_pages(render_files(docs, width=400_000))
-    whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
-    return whole.select("doc_id", F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"^[ \n]+|[ \n]+$", ""), r"[ \t]*\n[ \t]*|[ \t]+", " "), " +", " ").alias("words"))
+    files = render_files(docs.where("text is not null"), width=None)
+    whole = data.read_files(files).select("doc_id", F.array_join("pages", "\n").alias("text")).unionByName(docs.where("text is null"))
+    return whole.select("doc_id", F.regexp_replace(F.regexp_replace("text", r"^[ \n]+|[ \n]+$", ""), r"[ \t]*\n[ \t]*|[ \t]+", " ").alias("words"))
 
 
 @query("aspect_fit", "SELECT p_partkey, CASE WHEN p_size * 100 * 3 > 1000 * 4 THEN greatest(1, floor(1000 * 4 / 3.0 + 0.5)) ELSE p_size * 100 END::BIGINT AS width, CASE WHEN p_size * 100 * 3 > 1000 * 4 THEN 1000 ELSE greatest(1, floor(p_size * 100 * 3 / 4.0 + 0.5)) END::BIGINT AS height FROM part")

@@ -41,6 +41,33 @@ def test_page_files_are_sound_and_repeatable(spark):
     assert {r.doc_id: r.pages for r in render_files(docs).collect()}[3] > 1
 
 
+def test_page_files_read_back_row_by_row(spark, tmp_path):
+    """Repeated and null ids, null and empty texts, empty lines, words and lines of any length: as the SQL has them."""
+    from collections import Counter
+
+    import duckdb
+
+    from foliary.plans import catalog
+
+    long = " ".join(f"w{i}(\\)" for i in range(3000))
+    texts = [(1, "one"), (1, "two\n\nthree"), (1, "one"), (2, None), (None, "none"), (None, None), (3, ""), (4, " \n \n"), (5, "a\n \n\n b  c \n"), (6, "x" * 9000 + " y\n" + "z" * 5000), (7, long), (8, "\n".join(f"{i} {long[:40]}" for i in range(300))), (9, "日本\n日本\nab\tc\r\nd é f"), (10, "\\101 \\n ) Tj")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["page_files_read_back"](spark, str(tmp_path)).collect()
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert Counter(map(tuple, got)) == Counter(connection.sql(catalog.oracle_sql()["page_files_read_back"]).fetchall())
+
+
+def test_lines_of_page_files_are_broken_to_a_width_only(spark):
+    from foliary.sources.data import read_pages
+
+    docs = spark.createDataFrame([(1, "word " * 500 + "\n" + "x" * 3000)], "doc_id long, text string")
+    assert len(read_pages(render_files(docs)).first().text.split("\n")) > 20
+    assert read_pages(render_files(docs, width=None)).first().text.split("\n") == [("word " * 500).rstrip(), "x" * 3000]
+    bad = spark.createDataFrame([(1, b"%PDF-"), (2, None)], "doc_id long, content binary")
+    assert [tuple(r) for r in read_pages(bad).orderBy("doc_id").collect()] == [(1, None, None, "pdf/structure"), (2, None, None, "pdf/structure")]
+
+
 def test_points():
     assert [point(v) for v in (0, 20, 25, 1, -30)] == ["0", "1", "1.25", "0.05", "-1.5"]
 
