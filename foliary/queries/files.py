@@ -150,8 +150,9 @@ def page_files_read_back(spark, sf_dir):
     """Every document as a page file, read again: the words in order (no line is broken, pages being as wide as they need), a document without a text having none."""
     from foliary.sinks.pdf import render_files
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"[^\x0A\x20-\x7E]", ""), " +", " ").alias("text"))
-    files = render_files(docs.where("text is not null"), width=None)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = F.regexp_replace(F.regexp_replace("text", r"[^\x0A\x20-\x7E]", ""), " +", " ")
+    files = render_files(docs.where("text is not null").select("doc_id", clean.alias("text")), width=None)
     whole = data.read_files(files).select("doc_id", F.array_join("pages", "\n").alias("text")).unionByName(docs.where("text is null"))
     return whole.select("doc_id", F.regexp_replace(F.regexp_replace("text", r"^[ \n]+|[ \n]+$", ""), r"[ \t]*\n[ \t]*|[ \t]+", " ").alias("words"))
 
