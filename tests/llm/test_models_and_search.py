@@ -252,6 +252,17 @@ def test_urls(spark):
     assert url_filter.classify(table.limit(0), rules).count() == 0
 
 
+def test_rules_of_the_contract(spark, tmp_path):
+    # "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/", the longest wins
+    urls = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://b.example.com/en/6": ("com/en/", "block"), "http://net/de/1?x": ("net/de/", "allow"),
+        "http://C.net/de/": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://d.example.net/de/8#a": ("example.net/de/8", "block"), "http://e.net/de/8": ("net/de/", "allow"), "http://f.org/es/": ("org/es/", "block"),
+    }
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.op3_url_filter(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
 def test_ranks_reach_the_end_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(36)], "src string, dst string, weight double")
     seeds = spark.createDataFrame([("h0", 100.0)], "host string, seed double")
